@@ -7,15 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, rule_ledger
+from . import hash_tree, histogram_pack, prefix_bpe, rule_ledger
 from .common import read
 
 
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary files are; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.encode_texts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = hash_tree.even_tree(24)
     return hash_tree.shard_documents(read(spark, sf_dir, "documents"), tree, hash_tree.grow(tree))
 
 
+def op6_histogram_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_pack.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rule_ledger.apply_policy(rule_ledger.ledger(read(spark, sf_dir, "documents")), "strict-1")
     return entries.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(rule_ledger.BASE_MASK).cast("long")) != 0)
@@ -23,7 +38,9 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_prefix_bpe": op2_prefix_bpe,
         "op3_hash_tree": op3_hash_tree,
+        "op6_histogram_pack": op6_histogram_pack,
         "op7_rule_ledger": op7_rule_ledger,
     }
 
