@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Spark send this package to every Python worker, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kinloom_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    at = os.path.join(tempfile.mkdtemp(prefix="kinloom-"), f"{top.name}.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    sc.addPyFile(at)
+    sc._kinloom_sent = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, with their lineage cut."""
     shared_dir(df.sparkSession)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship
 from .hash_tree import slots
 
 #: Chunks between blanks whose ids a worker keeps.
@@ -110,6 +110,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
 
     A null text counts as empty and has the end id alone.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     end = struct.pack("<I", end_id)
 

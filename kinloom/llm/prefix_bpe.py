@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Chunks between white space, and pieces, whose encodings a worker keeps.
 CHUNKS_KEPT, PIECES_KEPT = 200_000, 400_000
 #: The pieces of a chunk under the vocabulary's own pre-tokenization (fixed values of the file format).
@@ -271,6 +273,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     A null text counts as empty: no ids and an empty decoded text. Ids may be null or repeat; other columns
     are not read. Rows are mapped where they lie. The vocabulary file has to be at that path on every executor.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + ([("ids", "array<long>"), ("decoded", "string")] if with_ids else [])
     schema = f"doc_id {kind.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in fields)

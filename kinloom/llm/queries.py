@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, histogram_pack, prefix_bpe, rule_ledger
+from . import hash_tree, histogram_pack, prefix_bpe, rule_ledger, set_relation_join
 from .common import read
 
 
@@ -36,12 +36,17 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(rule_ledger.BASE_MASK).cast("long")) != 0)
 
 
+def op8_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_relation_join.link_components(read(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_prefix_bpe": op2_prefix_bpe,
         "op3_hash_tree": op3_hash_tree,
         "op6_histogram_pack": op6_histogram_pack,
         "op7_rule_ledger": op7_rule_ledger,
+        "op8_set_relation_join": op8_set_relation_join,
     }
 
 
