@@ -11,31 +11,31 @@ from __future__ import annotations
 
 import bisect
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
 from .hash_tree import slots
+from .textcore import Block, RaggedTable, blocks, gather, mix
 
-#: Chunks between blanks whose ids a worker keeps.
-CHUNKS_KEPT = 500_000
-#: Texts are encoded by the library itself where blanks don't separate its pieces.
+#: Word types, and pieces of letters, whose ids a worker keeps.
+TYPES_KEPT, PIECES_KEPT = 2_500_000, 500_000
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
 class ChunkTokenizer:
-    """Ids by the tokenizers library, remembered for each chunk that starts at a single blank.
+    """Ids by the tokenizers library, remembered for each word with the white space in front.
 
-    In a byte-level pre-tokenization no piece goes on past a blank between two characters that aren't white
-    space, so a text's ids are those of its chunks (each but the first with its blank in front) one after
-    another. A text with a chunk that is empty or begins or ends in white space, or that holds a special
-    token, is encoded whole.
+    In a byte-level pre-tokenization no piece goes on past a white space character between two others, so a
+    text's ids are those of its words, each with the one character in front of it, one after another. A text
+    with longer gaps, with white space at an end, with a word that begins or ends in other white space, or with
+    a special token is encoded whole. Of a word of letters before marks the library encodes the two pieces.
     """
 
     def __init__(self, path: str):
@@ -46,58 +46,64 @@ class ChunkTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-
-    def whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def learn(self, chunks: set[str], kept: dict[str, bytes | None], blank: str) -> None:
-        """Puts the ids of new chunks, or None for those that can't stand alone, into `kept`."""
-        plain = []
-        for c in chunks:
-            if not c or c[0].isspace() or c[-1].isspace() or any(s in c for s in self.special):
-                kept[c] = None
+        self.marks = tuple(c for c in map(chr, range(33, 127)) if not c.isalnum())
+        self.types = RaggedTable((np.uint32,), TYPES_KEPT)
+        self.pieces: dict[str, list[int]] = {}
+
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _split(self, word: str) -> tuple[str, str]:
+        """Letters (with what stands in front) and the marks behind them, or the word and nothing."""
+        base = word.rstrip("".join(self.marks))
+        return (base, word[len(base) :]) if base and base[-1] not in " \n" and base.lstrip(" \n").isalpha() and base.isprintable() else (word, "")
+
+    def learn(self, words: list[str]) -> list[list[int] | None]:
+        """Ids of words with the character in front; None for those that can't stand alone."""
+        parts: list[tuple[str, str] | None] = []
+        for w in words:
+            bare = w[1:] if w[:1] in " \n\t\r\x0b\x0c" else w
+            fits = bare and not bare[0].isspace() and not bare[-1].isspace() and not any(s in w for s in self.special)
+            parts.append(self._split(w) if fits else None)
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces.clear()
+        new = list({x for p in parts if p for x in p if x}.difference(self.pieces))
+        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.pieces[x] = e.ids
+        self.pieces[""] = []
+        get = self.pieces.__getitem__
+        return [None if p is None else get(p[0]) + get(p[1]) if p[1] else get(p[0]) for p in parts]
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a binary column."""
+        for _, _, block in blocks(column):
+            yield from self._encode(block)
+
+    def _encode(self, block: Block) -> Iterator[np.ndarray]:
+        start, end, first = block.start, block.end, block.first
+        head = np.zeros(len(start), dtype=bool)
+        head[first[:-1][block.counts > 0]] = True
+        before = np.where(head, np.uint8(0), block.buf[np.maximum(start - 1, 0)]) if len(start) else np.zeros(0, dtype=np.uint8)
+        raw = block.buf.tobytes()
+
+        def make(at: np.ndarray) -> tuple[list]:
+            return (self.learn([raw[s - (not h) : e].decode() for s, e, h in zip(start[at].tolist(), end[at].tolist(), head[at].tolist(), strict=True)]),)
+
+        ((place, length),) = self.types.of(block.hash ^ mix(before.astype(np.uint64) + np.uint64(7)), make)
+        gap = np.where(head, start - block.offsets[block.doc] + 1, start - np.concatenate([[0], end[:-1]])) if len(start) else start
+        odd = np.zeros(block.n, dtype=bool)
+        odd[block.doc[(gap != 1) | (length < 0)]] = True
+        some = np.flatnonzero(block.counts > 0)
+        odd[some] |= end[first[some + 1] - 1] != block.offsets[some + 1]
+        odd |= (block.counts == 0) & (np.diff(block.offsets) > 0)
+        size = np.maximum(length, 0).astype(np.int64)
+        ids = gather(self.types.pool[0], place, size)
+        ends = np.concatenate([[0], np.cumsum(size)])[first]
+        for k in range(block.n):
+            if odd[k]:
+                yield np.array(self.whole(raw[block.offsets[k] : block.offsets[k + 1]].decode()), dtype="<u4")
             else:
-                plain.append(c)
-        for c, e in zip(plain, self.library.encode_batch_fast([blank + c for c in plain], add_special_tokens=False), strict=True):
-            ids = e.ids
-            kept[c] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        block: list[list[str]] = []
-        size = 0
-        for text in texts:
-            block.append(text.split(" "))
-            size += len(text)
-            if size > 1 << 20:
-                yield from self._encode(block)
-                block, size = [], 0
-        yield from self._encode(block)
-
-    def _encode(self, block: list[list[str]]) -> Iterator[bytes]:
-        if len(self.later) > CHUNKS_KEPT:
-            self.later.clear()
-        if len(self.first) > CHUNKS_KEPT // 8:
-            self.first.clear()
-        seen: set[str] = set()
-        for parts in block:
-            seen.update(parts[1:])
-        self.learn(seen.difference(self.later), self.later, " ")
-        self.learn({parts[0] for parts in block if parts[0]}.difference(self.first), self.first, "")
-        get = self.later.__getitem__
-        for parts in block:
-            if len(parts) == 1 and not parts[0]:
-                yield b""
-                continue
-            head = self.first[parts[0]] if parts[0] else None
-            tail = list(map(get, parts[1:]))
-            if head is None or None in tail:
-                yield self.whole(" ".join(parts))
-            else:
-                yield head + b"".join(tail)
+                yield ids[ends[k] : ends[k + 1]]
 
 
 @lru_cache(maxsize=2)
@@ -112,25 +118,25 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     """
     ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(vocabulary)
         for batch in batches:
             rows, cols = [], ([], [], [], [])
-            for k, ids in enumerate(own.encode([x or "" for x in batch.column(1).to_pylist()])):
-                ids += end
-                total = len(ids) // 4
+            for k, ids in enumerate(own.encode(batch.column(1))):
+                raw = np.concatenate([ids, end]).astype("<u4").tobytes()
+                total = len(raw) // 4
                 begin, stop, number = 0, total % capacity or min(total, capacity), 0
                 while begin < total:
                     rows.append(k)
-                    for col, v in zip(cols, (number, begin, stop - begin, zlib.crc32(ids[4 * begin : 4 * stop])), strict=True):
+                    for col, v in zip(cols, (number, begin, stop - begin, zlib.crc32(raw[4 * begin : 4 * stop])), strict=True):
                         col.append(v)
                     begin, stop, number = stop, stop + capacity, number + 1
             out = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECE_SCHEMA}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECE_SCHEMA}")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -140,3 +140,61 @@ class TypeTable:
                 self.values = np.insert(self.values, at[new], made, axis=0)
         return out[back]
 
+
+
+def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of a pool, one after another."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(start - (ends - length), length) + np.arange(total)]
+
+
+class RaggedTable:
+    """Sequences (one for each field) of word types by hash, kept over the batches of a worker in pools; at `limit` types it starts anew.
+
+    A type may have no sequence (None): its length is -1 in every field.
+    """
+
+    def __init__(self, dtypes: tuple, limit: int = 2_500_000):
+        self.dtypes, self.limit = dtypes, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.place = [np.zeros(0, dtype=np.int64) for _ in self.dtypes]
+        self.length = [np.zeros(0, dtype=np.int32) for _ in self.dtypes]
+        self.pool = [np.zeros(1 << 16, dtype=d) for d in self.dtypes]
+        self.used = [0] * len(self.dtypes)
+
+    def _append(self, field: int, made: list) -> tuple[np.ndarray, np.ndarray]:
+        length = np.array([-1 if m is None else len(m) for m in made], dtype=np.int32)
+        flat = np.concatenate([np.frombuffer(m, dtype=self.dtypes[field]) if isinstance(m, bytes) else np.asarray(m, dtype=self.dtypes[field]) for m in made if m is not None] or [np.zeros(0, dtype=self.dtypes[field])])
+        used, size = self.used[field], np.maximum(length, 0).astype(np.int64)
+        if used + len(flat) > len(self.pool[field]):
+            grown = np.zeros(max(used + len(flat), len(self.pool[field]) * 3 // 2), dtype=self.dtypes[field])
+            grown[:used] = self.pool[field][:used]
+            self.pool[field] = grown
+        self.pool[field][used : used + len(flat)] = flat
+        self.used[field] = used + len(flat)
+        return used + np.cumsum(size) - size, length
+
+    def of(self, hashes: np.ndarray, make) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(place, length) in the pool of each field for every hash; make(places) gives the fields' lists for new types, by a place of each."""
+        types, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) + len(types) > self.limit and len(self.keys) > len(types):
+            known = np.isin(types, self.keys, assume_unique=True)
+            if len(self.keys) + len(types) - int(known.sum()) > self.limit:
+                self.clear()
+        at = np.searchsorted(self.keys, types)
+        known = np.zeros(len(types), dtype=bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == types
+        new = np.flatnonzero(~known)
+        if len(new):
+            for field, made in enumerate(make(where[new])):
+                place, length = self._append(field, made)
+                self.place[field] = np.insert(self.place[field], at[new], place)
+                self.length[field] = np.insert(self.length[field], at[new], length)
+            self.keys = np.insert(self.keys, at[new], types[new])
+            at = np.searchsorted(self.keys, types)
+        return [(p[at][back], n[at][back]) for p, n in zip(self.place, self.length, strict=True)]
