@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -53,9 +54,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, with their lineage cut."""
+    """The rows written to the shared checkpoint folder, with their lineage cut.
+
+    What was shuffled on the way is not needed any more; a collection on the driver lets Spark's cleaner delete it.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def words_of(text: Column) -> Column:
