@@ -10,20 +10,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .textcore import Block, RaggedTable, blocks, gather
 
-#: Chunks between white space, and pieces, whose encodings a worker keeps.
-CHUNKS_KEPT, PIECES_KEPT = 200_000, 400_000
+#: Chunks between white space (in array pools), and pieces, whose encodings a worker keeps.
+CHUNKS_KEPT, PIECES_KEPT = 1_500_000, 500_000
+#: Characters before which a word of ASCII letters is cut: each starts a piece of its own kind.
+MARKS = b".,!?;:"
 #: The pieces of a chunk under the vocabulary's own pre-tokenization (fixed values of the file format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -208,7 +211,7 @@ class TextCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
         self.piece = regex.compile(PIECES)
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.chunks = RaggedTable((np.dtype("<u4"), np.uint8), CHUNKS_KEPT)
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _of_piece(self, piece: str) -> tuple[int, ...]:
@@ -244,18 +247,39 @@ class TextCodec:
             at = m.end()
         return ids + list(self._plain(text[at:]))
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        if len(self.chunks) >= CHUNKS_KEPT:
-            self.chunks.clear()
+    def _chunk(self, chunk: bytes) -> tuple[list[int], bytes]:
+        """Ids of a chunk, and their strings each with a blank behind."""
         ids = self.chunk_ids(chunk)
-        made = self.chunks[chunk] = (struct.pack(f"<{len(ids)}I", *ids), "".join([self.names[i] + " " for i in ids]).encode())
-        return made
-
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of one text."""
-        get, make = self.chunks.get, self._chunk
-        parts = [get(c) or make(c) for c in text.split()]
-        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])[:-1]
+        return ids, "".join([self.names[i] + " " for i in ids]).encode()
+
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids as little-endian unsigned 32-bit integers, UTF-8 of the decoded text) of each text of a binary column; null counts as empty.
+
+        Word types are told apart after lower-casing A-Z, as the vocabulary does; texts that may hold a special token take their own way.
+        """
+        for _, _, block in blocks(column, fold_ascii=True, marks=MARKS):
+            raw = block.buf.tobytes()
+
+            def make(at: np.ndarray, raw: bytes = raw, block: Block = block) -> tuple[list, list]:
+                chunks = [raw[s:e] for s, e in zip(block.start[at].tolist(), block.end[at].tolist(), strict=True)]
+                made = [(None, None) if b"<|" in c else self._chunk(c) for c in chunks]
+                return [m[0] for m in made], [m[1] for m in made]
+
+            found = self.chunks.of(block.hash, make) if len(block.start) else []
+            special = set(block.doc[found[0][1] < 0].tolist()) if found else ()
+            out = []
+            for pool, (place, length) in zip(self.chunks.pool, found, strict=False):
+                size = np.maximum(length, 0).astype(np.int64)
+                out.append((gather(pool, place, size), np.concatenate([[0], np.cumsum(size)])[block.first]))
+            if not out:
+                out = [(np.zeros(0, dtype=d), np.zeros(block.n + 1, dtype=np.int64)) for d in self.chunks.dtypes]
+            (ids, ids_at), (text, text_at) = out
+            for k in range(block.n):
+                if k in special:
+                    made = [self._chunk(c) for c in raw[block.offsets[k] : block.offsets[k + 1]].split()]
+                    yield np.array([i for m in made for i in m[0]], dtype="<u4"), np.frombuffer(b"".join([m[1] for m in made])[:-1], dtype=np.uint8)
+                    continue
+                yield ids[ids_at[k] : ids_at[k + 1]], text[text_at[k] : max(text_at[k + 1] - 1, text_at[k])]
 
     def decode(self, ids: list[int]) -> str:
         """The token strings with spaces between, as a tokenizer without a decoder does."""
@@ -282,14 +306,13 @@ def encode_texts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
         own = codec(vocabulary)
         for batch in batches:
             counts, of_ids, of_text, ids_out, text_out = [], [], [], [], []
-            for value in batch.column(1):
-                ids, decoded = own.encode(value.as_py() or b"")
-                counts.append(len(ids) // 4)
+            for ids, decoded in own.encode_column(batch.column(1)):
+                counts.append(len(ids))
                 of_ids.append(hashlib.sha256(ids).hexdigest())
                 of_text.append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
-                    ids_out.append(list(struct.unpack(f"<{len(ids) // 4}I", ids)))
-                    text_out.append(decoded.decode())
+                    ids_out.append(ids.tolist())
+                    text_out.append(decoded.tobytes().decode())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             if with_ids:
                 columns += [pa.array(ids_out, pa.list_(pa.int64())), pa.array(text_out, pa.string())]

@@ -14,6 +14,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C13 | 1)
 _MASK = (1 << 64) - 1
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[65:91] = _LETTERS[97:123] = True
 
 
 def _byte_codes(fold_ascii: bool) -> np.ndarray:
@@ -51,9 +53,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Some texts in one buffer, and their words: `start`, `end` (byte places), `doc` (text number), `hash`."""
+    """Some texts in one buffer, and their words: `start`, `end` (byte places), `doc` (text number), `hash`.
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold_ascii: bool = False):
+    With `marks`, a word is also cut between an ASCII letter and one of these ASCII characters.
+    """
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold_ascii: bool = False, marks: bytes = b""):
         self.buf, self.offsets, self.n = buf, offsets, len(offsets) - 1
         inside = ~_SPACES[buf]
         begins, ends = inside.copy(), np.zeros(len(buf) + 1, dtype=bool)
@@ -64,6 +69,11 @@ class Block:
             edges = offsets[(offsets > 0) & (offsets < len(buf))]
             begins[edges] = inside[edges]
             ends[edges] |= inside[edges - 1]
+            if marks:
+                is_mark = np.zeros(256, dtype=bool)
+                is_mark[list(marks)] = True
+                at = np.flatnonzero(_LETTERS[buf[:-1]] & is_mark[buf[1:]]) + 1
+                begins[at] = ends[at] = True
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         p, q = _power_tables(len(buf) + 1)
@@ -90,7 +100,7 @@ class Block:
         return chars, length
 
 
-def blocks(column: pa.Array, fold_ascii: bool = False) -> Iterator[tuple[int, int, Block]]:
+def blocks(column: pa.Array, fold_ascii: bool = False, marks: bytes = b"") -> Iterator[tuple[int, int, Block]]:
     """(first row, row after the last, block) over a binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -105,7 +115,7 @@ def blocks(column: pa.Array, fold_ascii: bool = False) -> Iterator[tuple[int, in
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1)
         last = min(last, n)
-        yield row, last, Block(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row], fold_ascii)
+        yield row, last, Block(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row], fold_ascii, marks)
         row = last
 
 
