@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, histogram_pack, prefix_bpe, rule_ledger, set_relation_join
+from . import hash_tree, histogram_pack, multi_index_hash, prefix_bpe, rule_ledger, set_relation_join
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_documents(read(spark, sf_dir, "documents"), tree, hash_tree.grow(tree))
 
 
+def op4_multi_index_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index_hash.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_histogram_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_pack.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_prefix_bpe": op2_prefix_bpe,
         "op3_hash_tree": op3_hash_tree,
+        "op4_multi_index_hash": op4_multi_index_hash,
         "op6_histogram_pack": op6_histogram_pack,
         "op7_rule_ledger": op7_rule_ledger,
         "op8_set_relation_join": op8_set_relation_join,
