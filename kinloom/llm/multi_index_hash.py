@@ -92,29 +92,26 @@ class SubstringIndexes:
             self.rows.append(np.argsort(codes[:, s], kind="stable"))
             self.first.append(np.concatenate([[0], np.cumsum(np.bincount(codes[:, s], minlength=1 << PART))]))
 
-    def probe(self, queries: np.ndarray, a: int) -> np.ndarray:
-        """(queries, rows) mask of the codes within m * (a + 1) - 1 bits: the union of the probed values' rows, then the whole distance."""
-        m = queries.shape[1]
-        found = np.zeros((len(queries), len(self.codes)), dtype=bool)
-        near = patterns(a)
+    def probe(self, queries: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all codes within m * (a + 1) - 1 bits: the rows of every value within a bits in any index, then the whole distance."""
+        m, near = queries.shape[1], patterns(a)
+        pairs = []
         for s in range(m):
             rows, first = self.rows[s], self.first[s]
-            if len(near) * 8 < len(rows):
-                keys = queries[:, s][:, None] ^ near[None, :]
-                start, size = first[keys], first[keys.astype(np.int64) + 1] - first[keys]
-                total = size.sum(axis=1)
-                size, start = size.ravel(), start.ravel()
-                ends = np.cumsum(size)
-                at = np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-                found[np.repeat(np.arange(len(queries)), total), rows[at]] = True
-            else:  # more values to probe than rows: the values that occur are tested instead
-                values = self.codes[rows, s]
-                found[:, rows] |= np.bitwise_count(queries[:, s][:, None] ^ values[None, :]) <= a
+            keys = (queries[:, s][:, None] ^ near[None, :]).astype(np.int64)
+            start, size = first[keys].ravel(), (first[keys + 1] - first[keys]).ravel()
+            ends = np.cumsum(size)
+            at = np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+            pairs.append(np.repeat(np.arange(len(queries)), size.reshape(keys.shape).sum(axis=1)) * len(self.codes) + rows[at])
+        q, r = np.divmod(np.unique(np.concatenate(pairs)), max(len(self.codes), 1))
         whole = np.ascontiguousarray(queries).view(np.uint64).ravel()
-        q, r = np.nonzero(found)
-        far = np.bitwise_count(whole[q] ^ self.whole[r]) > m * (a + 1) - 1
-        found[q[far], r[far]] = False
-        return found
+        ok = np.bitwise_count(whole[q] ^ self.whole[r]) <= m * (a + 1) - 1
+        return q[ok], r[ok]
+
+    def within(self, queries: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """(queries, rows) mask of the codes within each query's radius, for radii at which more values would be probed than there are rows: the codes are compared themselves."""
+        whole = np.ascontiguousarray(queries).view(np.uint64).ravel()
+        return np.bitwise_count(whole[:, None] ^ self.whole[None, :]) <= radius[:, None]
 
 
 def needed_radius(similarity: np.ndarray, reach: float) -> np.ndarray:
@@ -123,39 +120,51 @@ def needed_radius(similarity: np.ndarray, reach: float) -> np.ndarray:
     return BITS * p + reach * np.sqrt(BITS * p * (1 - p))
 
 
+#: Bits by which a substring may differ in the first probing; rows whose k-th score gives a wide search its radius.
+FIRST_PROBE, SEED_ROWS = 1, 2048
+
+
 def search_block(coder: Coder, reach: float, k: int, qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's k best found in a block, ties to the smaller id."""
     index = SubstringIndexes(coder.codes(x))
     codes = coder.codes(q, query=True)
     scale = np.sqrt((q * q).sum(axis=1) * coder.norm2)
     m = codes.shape[1]
-    out: list[tuple[np.ndarray, ...]] = []
+    rows_q, rows_x = [], []
     for begin in range(0, len(q), 256):
         part = np.arange(begin, min(begin + 256, len(q)))
-        scores = q[part] @ x.T
-        left, seen = np.arange(len(part)), np.zeros((len(part), len(x)), dtype=bool)
-        for a in range(PART + 1):
-            mask = index.probe(codes[part[left]], a)
-            seen[left] = mask
-            got = np.where(mask, scores[left], -np.inf)
-            kth = np.partition(got, len(x) - k, axis=1)[:, len(x) - k] if len(x) >= k else np.full(len(left), -np.inf)
-            need = np.where(np.isfinite(kth), needed_radius(kth / scale[part[left]], reach), np.inf)
-            left = left[(m * (a + 1) - 1 < need)]
-            if not len(left):
-                break
-        take = min(k + 12, len(x))
-        scores[~seen] = -np.inf
-        best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-        row, col = np.repeat(np.arange(len(part)), take), best.ravel()
-        ok = np.isfinite(scores[row, col])
-        row, col = row[ok], col[ok]
-        exact = (q[part[row]] * x[col]).sum(axis=1)
-        order = np.lexsort((xid[col], -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < k
-        out.append((qid[part[row[keep]]], xid[col[keep]], exact[keep]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        # close codes, by probing the indexes
+        a, b = index.probe(codes[part], FIRST_PROBE)
+        score = np.einsum("nd,nd->n", q[part[a]], x[b])
+        order = np.lexsort((-score, a))
+        a, b, score = a[order], b[order], score[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        kth = np.full(len(part), -np.inf)
+        kth[a[place == k - 1]] = score[place == k - 1]
+        need = np.where(np.isfinite(kth), needed_radius(kth / scale[part], reach), np.inf)
+        wide = need > m * (FIRST_PROBE + 1) - 1
+        near = ~wide[a] & (place < k + 12)
+        rows_q.append(part[a[near]]), rows_x.append(b[near])
+        # the rest within the radius that their k-th so far, or that of some rows, asks for
+        if wide.any():
+            left = part[wide]
+            scores = q[left] @ x.T
+            seed = min(SEED_ROWS, len(x))
+            low = np.partition(scores[:, :seed], seed - k, axis=1)[:, seed - k] if seed >= k else np.full(len(left), -np.inf)
+            low = np.maximum(low, kth[wide])
+            radius = np.where(np.isfinite(low), needed_radius(low / scale[left], reach), BITS)
+            scores[~index.within(codes[left], radius)] = -np.inf
+            take = min(k + 12, len(x))
+            best = np.argpartition(scores, len(x) - take, axis=1)[:, len(x) - take :]
+            row, col = np.repeat(np.arange(len(left)), take), best.ravel()
+            ok = np.isfinite(scores[row, col])
+            rows_q.append(left[row[ok]]), rows_x.append(col[ok])
+    row, col = np.concatenate(rows_q), np.concatenate(rows_x)
+    exact = (q[row] * x[col]).sum(axis=1)
+    order = np.lexsort((xid[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return qid[row[keep]], xid[col[keep]], exact[keep]
 
 
 def _sound(embedding: Column, size: int | None = None) -> Column:
