@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, histogram_pack, multi_index_hash, prefix_bpe, rule_ledger, set_relation_join
+from . import crf_language, hash_tree, histogram_pack, multi_index_hash, prefix_bpe, rule_ledger, set_relation_join
 from .common import read
 
 
@@ -18,6 +18,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = crf_language.held_out("doc_id", 3, 1)
+    chain = crf_language.learn(docs, ~out)
+    return crf_language.identify(docs, chain).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_texts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -46,6 +53,7 @@ def op8_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_crf_language": op1_crf_language,
         "op2_prefix_bpe": op2_prefix_bpe,
         "op3_hash_tree": op3_hash_tree,
         "op4_multi_index_hash": op4_multi_index_hash,
