@@ -24,7 +24,7 @@ from .textcore import Block, TypeTable, blocks, mix
 #: Hash slots of emission weights; bytes of a word that are looked at; words of a segment.
 SLOTS, WIDTH, SEGMENT = 1 << 17, 20, 64
 #: Labelled rows of each language to learn from, at most; stretches of each, and their characters.
-SAMPLE_ROWS, STRETCHES, STRETCH_CHARS = 700, 3, 300
+SAMPLE_ROWS, STRETCHES, STRETCH_CHARS = 500, 2, 300
 #: Characters before which a word of letters is cut.
 MARKS = b".,!?;:|"
 UNDETERMINED = "und"
@@ -43,7 +43,7 @@ def features(chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndar
     out, has = [], []
 
     def add(value: np.ndarray, kind: int, present: np.ndarray) -> None:
-        out.append(mix(value * np.uint64(64) + np.uint64(kind)) & np.uint64(SLOTS - 1))
+        out.append((mix(value * np.uint64(64) + np.uint64(kind)) & np.uint64(SLOTS - 1)).astype(np.int32))
         has.append(present)
 
     whole = np.zeros(n, dtype=np.uint64)
@@ -62,7 +62,7 @@ def features(chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndar
     for gram, size, kind in ((two, 2, 10), (three, 3, 11)):
         for k in range(gram.shape[1]):
             add(gram[:, k], kind, where[0, k] + size <= length)
-    return np.stack(out, axis=1).astype(np.int64), np.stack(has, axis=1)
+    return np.stack(out, axis=1), np.stack(has, axis=1)
 
 
 @dataclass
@@ -154,9 +154,10 @@ def train(texts: list[tuple[bytes, str]], epochs: int = 6, length: int = 24, see
     column = pa.array([t for t, _ in texts], pa.binary())
     for low, _, block in blocks(column, fold_ascii=True, marks=MARKS):
         at = letter_words(block)
-        c, n = block.characters(at, WIDTH)
-        s, h = features(c, n)
-        slots.append(s), has.append(h), owner.append(block.doc[at] + low)
+        for k in range(0, len(at), 1 << 15):
+            s, h = features(*block.characters(at[k : k + (1 << 15)], WIDTH))
+            slots.append(s), has.append(h)
+        owner.append(block.doc[at] + low)
     slots, has, owner = (np.concatenate(x) for x in (slots, has, owner))
     tag = np.array([labels.index(lang) for _, lang in texts])[owner]
     # stretches of one text; runs of `length` words
@@ -164,7 +165,7 @@ def train(texts: list[tuple[bytes, str]], epochs: int = 6, length: int = 24, see
     if not runs:
         runs = [np.arange(min(length, len(owner)))]
     runs = np.stack(runs)
-    weight = has / np.maximum(has.sum(axis=1, keepdims=True), 1) * chain.sharpness
+    weight = has * (chain.sharpness / np.maximum(has.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     sums = {k: np.full(v.shape, 1e-2) for k, v in (("emit", chain.emit), ("move", chain.move), ("first", chain.first))}
 
     def update(name: str, gradient: np.ndarray, rate: float) -> None:
