@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, hash_tree, histogram_pack, multi_index_hash, prefix_bpe, rule_ledger, set_relation_join
+from . import crf_language, hash_tree, histogram_pack, multi_index_hash, prefix_bpe, rule_ledger, set_relation_join, string_kernel_toxicity
 from .common import read
 
 
@@ -38,6 +38,12 @@ def op4_multi_index_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index_hash.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = read(spark, sf_dir, "documents"), crf_language.held_out("doc_id", 5, 0)
+    machine = string_kernel_toxicity.learn(docs, read(spark, sf_dir, "labels"), ~out)
+    return string_kernel_toxicity.score(docs, machine).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_histogram_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_pack.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_prefix_bpe": op2_prefix_bpe,
         "op3_hash_tree": op3_hash_tree,
         "op4_multi_index_hash": op4_multi_index_hash,
+        "op5_string_kernel_toxicity": op5_string_kernel_toxicity,
         "op6_histogram_pack": op6_histogram_pack,
         "op7_rule_ledger": op7_rule_ledger,
         "op8_set_relation_join": op8_set_relation_join,
