@@ -31,12 +31,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     both = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
+    rounds = 0
     while True:
+        rounds += 1
         near = salted_join(both, labels.select(F.col("node").alias("v"), F.col("label").alias("near")), "v", "u").groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = salted_join(lower, jump, "label", "node").select("node", "was", F.least("label", "further").alias("label"))
-        done = cut(jumped)
+        if rounds > 1:  # long chains; stars are done by then
+            jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            lower = salted_join(lower, jump, "label", "node").select("node", "was", F.least("label", "further").alias("label"))
+        done = cut(lower)
         if done.where("was <> label").isEmpty():
             return done.select("node", "label")
         labels = done.select("node", "label")
