@@ -68,3 +68,20 @@ def cut(df: DataFrame) -> DataFrame:
 def words_of(text: Column) -> Column:
     """The non-empty words of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+
+
+def carried(docs: DataFrame, doc_id: str, text: str, made: tuple[str, ...], carry: bool) -> tuple[DataFrame, str, list[str]]:
+    """(rows for Python, schema of what is handed through, its names): the id as doc_id, or every column of docs but those called like the ones made.
+
+    The text comes along once more as `_text`; it is read from the scan once.
+    """
+    taken = [f.name for f in docs.schema.fields if f.name not in (*made, "_text")] if carry else []
+    kept = [F.col(c) for c in taken] or [F.col(doc_id).alias("doc_id")]
+    rows = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    fields = [f for f in rows.schema.fields if f.name != "_text"]
+    return rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), [f.name for f in fields]
+
+
+def rows_of(batch, kept: list[str], low: int, high: int) -> list:
+    """The columns handed through, of some rows of a batch."""
+    return [batch.column(c).slice(low, high - low) for c in kept]

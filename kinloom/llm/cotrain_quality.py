@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import carried, rows_of, ship
 from .string_kernel_toxicity import platt
 from .textcore import Block, blocks
 
@@ -203,24 +203,30 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
     return cotrain(x[y >= 0], m[y >= 0], y[y >= 0], x[y < 0], m[y < 0])
 
 
-def score(docs: DataFrame, views: Views, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, text_score, meta_score and kept of every row.
+def score(docs: DataFrame, views: Views, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, score, text_score, meta_score and kept of every row; with `carry`, all columns of docs in place of the id alone.
 
     A null text or one without words scores 0 and is not kept. Rows are mapped where they lie; null or repeated
     ids and equal rows stay. Columns other than id, text, source, lang and n_chars are not read.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(views)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    made = ("score", "text_score", "meta_score", "kept")
+    have = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(f"_{name}")
+    clash = ("_source", "_lang", "_n_chars")
+    rows, schema, kept = carried(docs.drop(*clash).select("*", have("source", "string"), have("lang", "string"), have("n_chars", "long")), doc_id, text, made, carry)
+    kept = [c for c in kept if c not in clash]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
+    if not carry:
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text"), have("source", "string"), have("lang", "string"), have("n_chars", "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for low, high, block in blocks(batch.column("text")):
-                part = batch.slice(low, high - low)
-                meta = meta_features(list(zip(*[part.column(c).to_pylist() for c in ("source", "lang", "n_chars")], strict=True)))
+            for low, high, block in blocks(batch.column("_text")):
+                meta = meta_features(list(zip(*[batch.column(c).slice(low, high - low).to_pylist() for c in clash], strict=True)))
                 both, a, b = own.scores(expand(text_features(block)), meta)
                 both = np.where(block.counts > 0, both, 0.0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(v) for v in (both, a, b, both >= threshold)]], ["doc_id", "score", "text_score", "meta_score", "kept"])
+                yield pa.RecordBatch.from_arrays([*rows_of(batch, kept, low, high), *[pa.array(v) for v in (both, a, b, both >= threshold)]], [*kept, *made])
 
-    return _rows(docs, doc_id, text).mapInArrow(run, f"doc_id {kind}, score double, text_score double, meta_score double, kept boolean")
+    return rows.mapInArrow(run, f"{schema}, score double, text_score double, meta_score double, kept boolean")

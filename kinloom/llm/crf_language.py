@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import carried, rows_of, ship
 from .textcore import Block, TypeTable, blocks, mix
 
 #: Hash slots of emission weights; bytes of a word that are looked at; words of a segment.
@@ -239,22 +239,23 @@ def sample_texts(docs: DataFrame, usable: Column, doc_id: str, text: str, lang:
     return [(r["piece"].encode(), r["lang"]) for r in got]
 
 
-def identify(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and shares (label -> mean marginal) of every whole text.
+def identify(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score and shares (label -> mean marginal) of every whole text; with `carry`, all columns of docs in place of the id alone.
 
     A null text, and one without letters, is `und` with score 0 and no shares. Rows are mapped where they lie:
     null or repeated ids and equal rows stay. Only the id and the text are read.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    rows, schema, kept = carried(docs, doc_id, text, ("lang_pred", "score", "shares"), carry)
+    names = [*kept, "lang_pred", "score", "shares"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         table = TypeTable(len(own.labels))
         m = len(own.labels)
         for batch in batches:
-            for low, high, block in blocks(batch.column(1), fold_ascii=True, marks=MARKS):
+            for low, high, block in blocks(batch.column("_text"), fold_ascii=True, marks=MARKS):
                 at = letter_words(block)
                 scores = table.of(block.hash[at], lambda k, at=at, block=block: own.emissions(*block.characters(at[k], WIDTH))) if len(at) else np.zeros((0, m))
                 counts = np.bincount(block.doc[at], minlength=block.n)
@@ -273,9 +274,9 @@ def identify(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str =
                 named = [own.labels[k] if ok else UNDETERMINED for k, ok in zip(pick.tolist(), ascii_letter.tolist(), strict=True)]
                 best = np.where(ascii_letter, share.max(axis=1), 0.0)
                 shares = pa.array([list(zip(own.labels, s, strict=True)) if ok else [] for s, ok in zip(share.tolist(), ascii_letter.tolist(), strict=True)], pa.map_(pa.string(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(named, pa.string()), pa.array(np.clip(best, 0.0, 1.0)), shares], ["doc_id", "lang_pred", "score", "shares"])
+                yield pa.RecordBatch.from_arrays([*rows_of(batch, kept, low, high), pa.array(named, pa.string()), pa.array(np.clip(best, 0.0, 1.0)), shares], names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, shares map<string,double>")
 
 
 def label_words(text: str, chain: Chain) -> list[tuple[str, str, float]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, hash_tree, histogram_pack, multi_index_hash, prefix_bpe, rule_ledger, set_relation_join, string_kernel_toxicity
+from . import cotrain_quality, crf_language, hash_tree, histogram_pack, multi_index_hash, prefix_bpe, rule_ledger, set_relation_join, string_kernel_toxicity, template_tree
 from .common import read
 
 
@@ -57,6 +57,18 @@ def op8_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_relation_join.link_components(read(spark, sf_dir, "documents"), words=5, percent=75)
 
 
+def op9_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = template_tree.dedup_lines(read(spark, sf_dir, "documents"))
+    digest = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "emptied", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("clean_chars"), digest.alias("clean_crc32"))
+
+
+def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = read(spark, sf_dir, "documents"), crf_language.held_out("doc_id", 5, 0)
+    views = cotrain_quality.learn(docs, read(spark, sf_dir, "labels"), ~out)
+    return cotrain_quality.score(docs, views).select("doc_id", out.alias("held_out"), "score", "text_score", "meta_score", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_crf_language": op1_crf_language,
@@ -67,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_histogram_pack": op6_histogram_pack,
         "op7_rule_ledger": op7_rule_ledger,
         "op8_set_relation_join": op8_set_relation_join,
+        "op9_template_tree": op9_template_tree,
+        "op10_cotrain_quality": op10_cotrain_quality,
     }
 
 

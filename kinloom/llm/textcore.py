@@ -104,6 +104,8 @@ def blocks(column: pa.Array, fold_ascii: bool = False, marks: bytes = b"") -> It
     """(first row, row after the last, block) over a binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_string(column.type):
+        column = column.cast(pa.binary())
     column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     if n == 0:
