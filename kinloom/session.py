@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +33,21 @@ def build_session(master: str | None = None, app: str = "kinloom", **conf: str)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Spark send this package to every Python worker, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kinloom_sent", False):
+        return
+    top = Path(__file__).resolve().parent
+    at = os.path.join(tempfile.mkdtemp(prefix="kinloom-"), f"{top.name}.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    sc.addPyFile(at)
+    sc._kinloom_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables, by any path Spark can read."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
