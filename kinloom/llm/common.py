@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Characters that separate words, as a Java and as an RE2 class.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Spark send this package to every Python worker, once for each context."""
+    """Lets Spark send this package to every Python worker, once for each context, and keeps Arrow batches of long texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_kinloom_sent", False):
         return
@@ -70,16 +74,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def carried(docs: DataFrame, doc_id: str, text: str, made: tuple[str, ...], carry: bool) -> tuple[DataFrame, str, list[str]]:
-    """(rows for Python, schema of what is handed through, its names): the id as doc_id, or every column of docs but those called like the ones made.
+def carried(docs: DataFrame, doc_id: str, text: str, made: tuple[str, ...], carry: bool) -> tuple[DataFrame, str, list[str], str]:
+    """(rows for Python, schema of what is handed through, its names, name of the text): the id as doc_id, or every column of docs but those called like the ones made.
 
-    The text comes along once more as `_text`; it is read from the scan once.
+    A text that is handed through anyway is sent once.
     """
-    taken = [f.name for f in docs.schema.fields if f.name not in (*made, "_text")] if carry else []
-    kept = [F.col(c) for c in taken] or [F.col(doc_id).alias("doc_id")]
-    rows = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    fields = [f for f in docs.schema.fields if f.name not in (*made, "_text")] if carry else []
+    own = next((f.name for f in fields if f.name == text and f.dataType.simpleString() == "string"), None)
+    kept = [F.col(f.name) for f in fields] or [F.col(doc_id).alias("doc_id")]
+    rows = docs.select(*kept) if own else docs.select(*kept, F.col(text).cast("string").alias("_text"))
     fields = [f for f in rows.schema.fields if f.name != "_text"]
-    return rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), [f.name for f in fields]
+    return rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), [f.name for f in fields], own or "_text"
 
 
 def rows_of(batch, kept: list[str], low: int, high: int) -> list:

@@ -214,16 +214,16 @@ def score(docs: DataFrame, views: Views, threshold: float = 0.5, doc_id: str = "
     made = ("score", "text_score", "meta_score", "kept")
     have = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(f"_{name}")
     clash = ("_source", "_lang", "_n_chars")
-    rows, schema, kept = carried(docs.drop(*clash).select("*", have("source", "string"), have("lang", "string"), have("n_chars", "long")), doc_id, text, made, carry)
+    rows, schema, kept, words_in = carried(docs.drop(*clash).select("*", have("source", "string"), have("lang", "string"), have("n_chars", "long")), doc_id, text, made, carry)
     kept = [c for c in kept if c not in clash]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
     if not carry:
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text"), have("source", "string"), have("lang", "string"), have("n_chars", "long"))
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias(words_in), have("source", "string"), have("lang", "string"), have("n_chars", "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for low, high, block in blocks(batch.column("_text")):
+            for low, high, block in blocks(batch.column(words_in)):
                 meta = meta_features(list(zip(*[batch.column(c).slice(low, high - low).to_pylist() for c in clash], strict=True)))
                 both, a, b = own.scores(expand(text_features(block)), meta)
                 both = np.where(block.counts > 0, both, 0.0)

@@ -247,7 +247,7 @@ def identify(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str =
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    rows, schema, kept = carried(docs, doc_id, text, ("lang_pred", "score", "shares"), carry)
+    rows, schema, kept, words_in = carried(docs, doc_id, text, ("lang_pred", "score", "shares"), carry)
     names = [*kept, "lang_pred", "score", "shares"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def identify(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str =
         table = TypeTable(len(own.labels))
         m = len(own.labels)
         for batch in batches:
-            for low, high, block in blocks(batch.column("_text"), fold_ascii=True, marks=MARKS):
+            for low, high, block in blocks(batch.column(words_in), fold_ascii=True, marks=MARKS):
                 at = letter_words(block)
                 scores = table.of(block.hash[at], lambda k, at=at, block=block: own.emissions(*block.characters(at[k], WIDTH))) if len(at) else np.zeros((0, m))
                 counts = np.bincount(block.doc[at], minlength=block.n)
