@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import ship
 from .textcore import Block, RaggedTable, blocks, gather
@@ -27,6 +28,8 @@ from .textcore import Block, RaggedTable, blocks, gather
 CHUNKS_KEPT, PIECES_KEPT = 1_500_000, 500_000
 #: Characters before which a word of ASCII letters is cut: each starts a piece of its own kind.
 MARKS = b".,!?;:"
+#: First character whose class is left to the library.
+BEYOND_LATIN = "\u0250"
 #: The pieces of a chunk under the vocabulary's own pre-tokenization (fixed values of the file format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -211,6 +214,8 @@ class TextCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
         self.piece = regex.compile(PIECES)
+        self.library = Tokenizer.from_file(path)
+        self.byte_of = {c: b for b, c in byte_letters().items()}
         self.chunks = RaggedTable((np.dtype("<u4"), np.uint8), CHUNKS_KEPT)
         self.pieces: dict[str, tuple[int, ...]] = {}
 
@@ -224,6 +229,11 @@ class TextCodec:
         return ids
 
     def _plain(self, text: str) -> Iterator[int]:
+        if text and max(text) >= BEYOND_LATIN:
+            # which characters are letters there depends on the library's own tables, so it cuts the pieces
+            for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
+                yield from self.words.encode(bytes(map(self.byte_of.__getitem__, piece)))
+            return
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = "".join([c.lower() for c in text])
