@@ -65,10 +65,10 @@ def test_subsequence_kernel(a, b):
 
 
 def test_toxicity(spark, odd_docs, no_docs):
-    bad = ["blorgard", "snixwort", "fumblegrax"]
+    bad, pick = ["blorgard", "snixwort"], np.random.default_rng(3)
     rows, marks = [], []
     for k in range(400):
-        words = [f"w{(k * 7 + i * i) % 97}ord" for i in range(30)]
+        words = [f"{'abcdefghij'[x % 10]}{'klmnopqrst'[x // 10 % 10]}{'uvwxyz'[x % 6]}ord" for x in pick.integers(0, 3000, 30).tolist()]
         if k % 3 == 0:
             words[k % 30] = bad[k % 2]
         rows.append((k, " ".join(words)))
