@@ -1,12 +1,12 @@
 """Nearest neighbours by inner product with multi-index hashing over learned rotated binary codes.
 
-Vectors get one more coordinate that makes their norms equal, so the angle orders them as the inner product
-does. A rotation learned on a bounded sample (principal axes, then alternating sign and Procrustes steps) turns
-them into codes of 64 bits. A code is cut into substrings, and each substring has an index of its own. If two
+A rotation learned on a bounded sample (principal axes, then alternating sign and Procrustes steps) turns the
+directions of vectors into codes of 64 bits; Hamming distance follows the angle. A code is cut into substrings, and each substring has an index of its own. If two
 codes differ in at most m * (a + 1) - 1 of their bits, one of their m substrings differs in at most a: probing
 every index within a retrieves every code within that radius. Codes within the radius are reranked by the inner
 product of the original vectors in double precision. A query's radius grows until codes beyond it are unlikely
-(by a stated number of standard deviations) to be nearer than its k-th found.
+(by a stated number of standard deviations) to be nearer than its k-th found; as the inner product also grows
+with a row's norm, rows have their radius by bands of norms.
 
 Every row is indexed. Index and queries are dealt into blocks and each pair of blocks is a task, so that no task
 holds more than a block of each.
@@ -37,42 +37,34 @@ INDEX_BLOCK, QUERY_BLOCK = 16_384, 4_096
 
 @dataclass(frozen=True)
 class Coder:
-    """Vectors to codes: signs of the rotated, centred and norm-completed vectors."""
+    """Vectors to codes: signs of their rotated directions."""
 
-    mean: np.ndarray
     axes: np.ndarray
-    norm2: float
 
-    def project(self, x: np.ndarray, query: bool) -> np.ndarray:
-        rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm2 - (x * x).sum(axis=1), 0.0))
-        if query:
-            x = x * (math.sqrt(self.norm2) / np.sqrt((x * x).sum(axis=1)))[:, None]
-        return (np.column_stack([x, rest]) - self.mean) @ self.axes
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.packbits(x @ self.axes > 0, axis=1, bitorder="little").view(np.uint16).reshape(len(x), BITS // PART)
 
-    def codes(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        return np.packbits(self.project(x, query) > 0, axis=1, bitorder="little").view(np.uint16).reshape(len(x), BITS // PART)
 
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
 
-def fit(sample: np.ndarray, norm2: float, rounds: int = 30, seed: int = 7) -> Coder:
+
+def fit(sample: np.ndarray, rounds: int = 30, seed: int = 7) -> Coder:
     """A coder learned from a sample; fewer dimensions than bits are filled up by random directions."""
     rng = np.random.default_rng(seed)
-    if len(sample) == 0:
-        sample = np.zeros((1, 1))
-    rest = np.sqrt(np.maximum(norm2 - (sample * sample).sum(axis=1), 0.0))
-    full = np.column_stack([sample, rest])
-    # codes compare angles about the origin, so the mean is not taken away
-    mean = np.zeros(full.shape[1])
-    _, _, vt = np.linalg.svd(full - full.mean(axis=0), full_matrices=False)
+    d = sample.shape[1]
+    unit = sample / norms(sample)[:, None] if len(sample) else np.eye(d)[:1]
+    _, _, vt = np.linalg.svd(unit, full_matrices=False)
     axes = vt[: min(BITS, len(vt))].T
     if axes.shape[1] < BITS:
-        axes = np.column_stack([axes, rng.normal(size=(full.shape[1], BITS - axes.shape[1])) / math.sqrt(full.shape[1])])
-    projected = full @ axes
+        axes = np.column_stack([axes, rng.normal(size=(d, BITS - axes.shape[1])) / math.sqrt(d)])
+    projected = unit @ axes
     rotation = np.linalg.qr(rng.normal(size=(BITS, BITS)))[0]
     for _ in range(rounds):
         signs = np.where(projected @ rotation > 0, 1.0, -1.0)
         u, _, wt = np.linalg.svd(projected.T @ signs)
         rotation = u @ wt
-    return Coder(mean, axes @ rotation, norm2)
+    return Coder(axes @ rotation)
 
 
 def patterns(radius: int) -> np.ndarray:
@@ -108,10 +100,10 @@ class SubstringIndexes:
         ok = np.bitwise_count(whole[q] ^ self.whole[r]) <= m * (a + 1) - 1
         return q[ok], r[ok]
 
-    def within(self, queries: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        """(queries, rows) mask of the codes within each query's radius, for radii at which more values would be probed than there are rows: the codes are compared themselves."""
+    def within(self, queries: np.ndarray, radius: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """(queries, rows) mask of the codes within each query's radius for the row's band, for radii at which more values would be probed than there are rows: the codes are compared themselves."""
         whole = np.ascontiguousarray(queries).view(np.uint64).ravel()
-        return np.bitwise_count(whole[:, None] ^ self.whole[None, :]) <= radius[:, None]
+        return np.bitwise_count(whole[:, None] ^ self.whole[None, :]) <= (radius if radius.shape[1] == 1 else radius[:, band])
 
 
 def needed_radius(similarity: np.ndarray, reach: float) -> np.ndarray:
@@ -127,8 +119,12 @@ FIRST_PROBE, SEED_ROWS = 1, 2048
 def search_block(coder: Coder, reach: float, k: int, qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's k best found in a block, ties to the smaller id."""
     index = SubstringIndexes(coder.codes(x))
-    codes = coder.codes(q, query=True)
-    scale = np.sqrt((q * q).sum(axis=1) * coder.norm2)
+    codes = coder.codes(q)
+    size = norms(x)
+    # rows by bands of an eighth of an octave of their norms; each band has the radius of its largest norm
+    step, band = np.unique(np.ceil(8 * np.log2(size / size.max()) - 1e-9), return_inverse=True)
+    largest = size.max() * 2.0 ** (step / 8)
+    scale = norms(q) * size.max()
     m = codes.shape[1]
     rows_q, rows_x = [], []
     for begin in range(0, len(q), 256):
@@ -152,9 +148,13 @@ def search_block(coder: Coder, reach: float, k: int, qid: np.ndarray, q: np.ndar
             seed = min(SEED_ROWS, len(x))
             low = np.partition(scores[:, :seed], seed - k, axis=1)[:, seed - k] if seed >= k else np.full(len(left), -np.inf)
             low = np.maximum(low, kth[wide])
-            radius = np.where(np.isfinite(low), needed_radius(low / scale[left], reach), BITS)
-            scores[~index.within(codes[left], radius)] = -np.inf
+            ratio = np.where(np.isfinite(low), low, -np.inf)[:, None] / (norms(q[left])[:, None] * largest[None, :])
+            radius = np.where(ratio > 1 + 1e-9, -1.0, needed_radius(ratio, reach))
+            radius[~np.isfinite(low)] = BITS
+            inside = index.within(codes[left], radius, band)
             take = min(k + 12, len(x))
+            inside[inside.sum(axis=1) < take] = True
+            scores[~inside] = -np.inf
             best = np.argpartition(scores, len(x) - take, axis=1)[:, len(x) - take :]
             row, col = np.repeat(np.arange(len(left)), take), best.ravel()
             ok = np.isfinite(scores[row, col])
@@ -186,17 +186,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
     ship(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), queries.alias("is_query"))
-    sizes = rows.where(F.col("vec_id").isNotNull() & _sound(F.col("v"))).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2")).orderBy(F.desc("n"), "d").head(1)
+    sizes = rows.where(F.col("vec_id").isNotNull() & _sound(F.col("v"))).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").head(1)
     if not sizes:
         return spark.createDataFrame([], schema)
-    d, norm2 = sizes[0]["d"], sizes[0]["norm2"]
+    d = sizes[0]["d"]
     rows = rows.where(F.col("vec_id").isNotNull() & _sound(F.col("v"), d)).select("vec_id", F.transform("v", lambda x: x + 0.0).alias("v"), "is_query")
     copies = Window.partitionBy("v").orderBy("vec_id")
     index = cut(rows.select("vec_id", "v").withColumn("_k", F.row_number().over(copies)).where(F.col("_k") <= k + 1).drop("_k"))
     asked = cut(rows.where("is_query").select("vec_id", "v").distinct())
     leads = cut(asked.groupBy("v").agg(F.min("vec_id").alias("lead")))
     some = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
-    coder = fit(np.stack(some.to_numpy()) if len(some) else np.zeros((0, d)), norm2)
+    coder = fit(np.stack(some.to_numpy()) if len(some) else np.zeros((0, d)))
 
     p = shuffle_partitions(spark)
     index_blocks = max(math.ceil(index.count() / INDEX_BLOCK), math.ceil(math.sqrt(p)))
