@@ -25,7 +25,7 @@ from .hash_tree import slots
 from .textcore import Block, RaggedTable, blocks, gather, mix
 
 #: Word types, and pieces of letters, whose ids a worker keeps.
-TYPES_KEPT, PIECES_KEPT = 2_500_000, 500_000
+TYPES_KEPT, PIECES_KEPT = 1_500_000, 200_000
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: An odd multiplier with 2 mod 4 both below and above it, so that differences of its powers keep most bits.
 _BASE = np.uint64(0x9E3779B97F4A7C13 | 1)
 _MASK = (1 << 64) - 1
