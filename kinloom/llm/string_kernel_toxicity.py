@@ -289,6 +289,7 @@ def train(texts: list[tuple[bytes, int]], rounds: int = 8) -> Machine:
     # witnesses: in a toxic text the words that score highest, at first the chosen ones; in other texts the worst ones, gathered over the rounds
     names = set(chosen)
     picked = {d: [place[w] for w in words[d] if w in names] for d in np.flatnonzero(label == 1)}
+    start, best = dict(picked), (-1.0, None)
     hard = set(contrast.tolist())
     w = np.zeros(z.shape[1] + 1)
     for turn in range(rounds):
@@ -300,12 +301,19 @@ def train(texts: list[tuple[bytes, int]], rounds: int = 8) -> Machine:
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(bad) + 1)])
         weight = np.concatenate([np.full(len(witness), 2.0), np.ones(len(bad) + 1)])
         w = svm(x, y, weight)
+        # the round whose worst words tell the sampled texts apart best is kept
+        top = np.array([(z[ks] @ w[:-1]).max() + w[-1] if len(ks) else w[-1] for ks in of_text])
+        a, b = platt(top, label.astype(float))
+        right = float(np.mean((a * top + b > 0) == (label == 1)))
+        if right > best[0]:
+            best = (right, w)
         if turn + 1 < rounds:
             value = z @ w[:-1] + w[-1]
             for d in np.flatnonzero(label == 0):
                 ks = of_text[d]
                 hard.update(ks[np.argsort(-value[ks], kind="stable")[:2]].tolist())
-            picked = {d: [int(k) for k in of_text[d][value[of_text[d]] > 0] if not clean[k]] for d in picked}
+            picked = {d: sorted({*start[d], *(int(k) for k in of_text[d][value[of_text[d]] > 0] if not clean[k])}) for d in picked}
+    w = best[1]
     machine = Machine(marks, whiten, w[:-1], float(w[-1]))
     worst = np.array([value[ks].max() if len(ks) else machine.bias for ks in of_text])
     machine.slope, machine.offset = platt(worst, label.astype(float))
