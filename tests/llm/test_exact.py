@@ -217,3 +217,19 @@ def test_line_templates(spark, odd_docs, no_docs):
     assert got[20]["emptied"] and not got[9]["emptied"] and got[0]["place"] == "c"
     assert [got[k]["n_dropped"] for k in (21, 22, 23)] == [0, 1, 1]
     assert template_tree.dedup_lines(odd_docs).count() == odd_docs.count() and template_tree.dedup_lines(no_docs).count() == 0
+
+
+def test_lines_of_two_documents(spark):
+    long = " ".join(f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60))
+    dated = f"In 2019 {long} on page 7"
+    passage = ["a passage of several lines that two documents share", "its second line is not long by itself but belongs", "and with a third line it is whole"]
+    rows = [(1, f"{long}\nfirst own line here"), (2, f"second own line here\n  {long.replace(' ', '  ', 1)} "), (3, dated), (4, f"fourth own line here\n{dated}"), (5, f"fifth own line here\n{dated.replace('7', '8')}")]
+    rows += [(6, "\n".join(["sixth own line here", *passage])), (7, "\n".join([*passage, "seventh own line here"])), (8, f"{rows[0][1]}x\nVolume 1 of all the works\nVolume 1 of all the works"), (9, "Volume 2 of all the works\nninth own line here")]
+    docs = spark.createDataFrame(rows[::-1], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in template_tree.dedup_lines(docs, min_docs=4).collect()}
+    assert got[1] == rows[0][1] and got[3] == dated and got[6] == rows[5][1]
+    assert [got[k] for k in (2, 4, 7)] == ["second own line here", "fourth own line here", "seventh own line here"]
+    assert got[5] == rows[4][1] and got[9] == rows[8][1]
+    assert got[8] == "first own line herex\nVolume 1 of all the works\nVolume 1 of all the works"
+    three = {r["doc_id"]: r["text"] for r in template_tree.dedup_lines(docs).collect()}
+    assert three[5] == "fifth own line here" and three[9] == rows[8][1]
