@@ -144,3 +144,24 @@ def test_query_runs_whole(spark, name):
     rows = queries()[name](spark, d)
     docs = spark.read.parquet(f"{d}/documents.parquet").count()
     assert rows.count() >= docs if "op4" not in name else rows.count() == 500
+
+
+def toxic_texts():
+    bad, pick = ["blorgard", "snixwort"], np.random.default_rng(3)
+    out = []
+    for k in range(300):
+        words = [f"{'abcdefghij'[x % 10]}{'klmnopqrst'[x // 10 % 10]}{'uvwxyz'[x % 6]}ord" for x in pick.integers(0, 3000, 30).tolist()]
+        if k % 3 == 0:
+            words[k % 30] = bad[k % 2]
+        out.append((" ".join(words).encode(), int(k % 3 == 0)))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 8])
+def test_toxicity_is_calibrated_on_the_weights_kept(rounds):
+    texts = toxic_texts()
+    machine = string_kernel_toxicity.train(texts, rounds)
+    column = string_kernel_toxicity.pa.array([t for t, _ in texts], string_kernel_toxicity.pa.binary())
+    worst = np.concatenate([string_kernel_toxicity.worst_words(b, machine, string_kernel_toxicity.TypeTable(1, dtype=np.float64)) for _, _, b in string_kernel_toxicity.blocks(column, fold_ascii=True, marks=string_kernel_toxicity.MARKS)])
+    want = string_kernel_toxicity.platt(worst, np.array([float(y) for _, y in texts]))
+    assert (machine.slope, machine.offset) == pytest.approx(want, rel=1e-3)
