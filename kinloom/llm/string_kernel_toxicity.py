@@ -5,7 +5,8 @@ stretch it spans; characters put in between and inflected forms lower the likene
 sample of labelled rows gives the landmarks: words that tell toxic texts from others, chosen to cover them, and
 the ordinary words most like these. A word's features are its kernel values with the landmarks, whitened. Only
 texts are labelled, so the machine learns from witnesses: in a toxic text the word that scores highest, in
-other texts every word. A text's score is that of its worst word, calibrated on the labelled texts.
+other texts every word. A text's score is that of its worst word, calibrated on the labelled texts. Of a word or a
+run of spelled letters that is too long to be compared at once, every stretch as long as a landmark is scored too.
 
 The kernel is worked out once for each word type of a worker, and only with the landmarks with which the type
 shares enough character pairs in order; with the others it counts as 0, in training as in scoring.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ship
 from .textcore import Block, TypeTable, blocks, mix
 
-#: Bytes of a word that are compared, length of the subsequences, decay for each character spanned, widest gap of a pair.
+#: Bytes that are compared at once, length of the subsequences, decay for each character spanned, widest gap of a pair.
 WIDTH, ORDER, DECAY, GAP = 24, 3, 0.6, 2
 #: Share of a landmark's neighbouring pairs that a word must have in order.
 GUARD = 0.6
@@ -83,6 +84,22 @@ def encode(words: list[bytes]) -> np.ndarray:
     return fold(out)
 
 
+def stretches(word: bytes, lengths: list[int]) -> Iterator[np.ndarray]:
+    """The parts of a long word as if each were a word, folded: what stands between characters that are no letters, and every stretch of its letters of the given lengths."""
+    letter = np.frombuffer(word, dtype=np.uint8)
+    kept = _LETTER[letter]
+    parts = {p for p in bytes(np.where(kept, letter, 32).astype(np.uint8)).split(b" ") if ORDER <= len(p) < WIDTH}
+    if parts:
+        yield encode(sorted(parts))
+    letters = _FOLD[letter[kept]]
+    for n in lengths:
+        for a in range(0, len(letters) - n + 1, 1 << 14):
+            seen = np.lib.stride_tricks.sliding_window_view(letters[a : a + (1 << 14) + n - 1], n)
+            out = np.zeros((len(seen), WIDTH), dtype=np.uint8)
+            out[:, 0], out[:, 1 : n + 1] = 1, seen
+            yield out
+
+
 @dataclass
 class Machine:
     """Landmarks, the whitening of their kernel, the weights, and the calibration of a text's worst word."""
@@ -135,6 +152,11 @@ class Machine:
             return np.full(len(words), self.bias)
         return self.likeness(words) @ (self.whiten @ self.weights) + self.bias
 
+    def long_word(self, word: bytes) -> float:
+        """The highest decision value of the stretches of a word that is longer than WIDTH."""
+        sizes = {int(n) - 1 for n in (self.landmarks != 0).sum(axis=1)} | {WIDTH - 1} if len(self.landmarks) else set()
+        return max((float(self.words(x).max()) for x in stretches(word, sorted(sizes - {0}))), default=self.bias)
+
     def probability(self, worst: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30)))
 
@@ -159,10 +181,18 @@ def worst_words(block: Block, machine: Machine, table: TypeTable) -> np.ndarray:
     """The highest decision value of each text's words; a text without words has the bias."""
     out = np.full(block.n, machine.bias)
     if len(block.start):
-        make = lambda at: machine.words(fold(block.characters(at, WIDTH)[0]))[:, None]
+
+        def make(at: np.ndarray) -> np.ndarray:
+            value = machine.words(fold(block.characters(at, WIDTH)[0]))
+            for k in np.flatnonzero(block.end[at] - block.start[at] >= WIDTH).tolist():
+                value[k] = max(value[k], machine.long_word(block.buf[block.start[at[k]] : block.end[at[k]]].tobytes()))
+            return value[:, None]
+
         np.maximum.at(out, block.doc, table.of(block.hash, make)[:, 0])
         if runs := spelled(block):
             np.maximum.at(out, np.array([d for d, _ in runs]), machine.words(encode([w for _, w in runs])))
+            if far := [(d, machine.long_word(w)) for d, w in runs if len(w) >= WIDTH]:
+                np.maximum.at(out, np.array([d for d, _ in far]), np.array([v for _, v in far]))
     return out
 
 

@@ -165,3 +165,14 @@ def test_toxicity_is_calibrated_on_the_weights_kept(rounds):
     worst = np.concatenate([string_kernel_toxicity.worst_words(b, machine, string_kernel_toxicity.TypeTable(1, dtype=np.float64)) for _, _, b in string_kernel_toxicity.blocks(column, fold_ascii=True, marks=string_kernel_toxicity.MARKS)])
     want = string_kernel_toxicity.platt(worst, np.array([float(y) for _, y in texts]))
     assert (machine.slope, machine.offset) == pytest.approx(want, rel=1e-3)
+
+
+@pytest.mark.parametrize("bad", ["blorgard", "SNIXWORT"])
+@pytest.mark.parametrize("joined", ["fine-words_that(are/joined-here-{}", "nothing\u00a0but\u00a0good\u00a0words\u00a0{}\u00a0here", "{}".rjust(40, "\u4e00"), "#" * 30 + "{}", "spelled"])
+def test_toxicity_reads_long_words_to_their_end(joined, bad):
+    machine = string_kernel_toxicity.train(toxic_texts())
+    make = (lambda w: "two " + " ".join("thesearethirtylettersinonerowx" + w)) if joined == "spelled" else (lambda w: "two " + joined.format(w))
+    column = string_kernel_toxicity.pa.array([make(bad).encode(), make("harmless").encode()], string_kernel_toxicity.pa.binary())
+    block = next(iter(string_kernel_toxicity.blocks(column, fold_ascii=True, marks=string_kernel_toxicity.MARKS)))[2]
+    p = machine.probability(string_kernel_toxicity.worst_words(block, machine, string_kernel_toxicity.TypeTable(1, dtype=np.float64)))
+    assert p[0] >= 0.5 > p[1]
