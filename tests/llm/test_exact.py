@@ -233,3 +233,13 @@ def test_lines_of_two_documents(spark):
     assert got[8] == "first own line herex\nVolume 1 of all the works\nVolume 1 of all the works"
     three = {r["doc_id"]: r["text"] for r in template_tree.dedup_lines(docs).collect()}
     assert three[5] == "fifth own line here" and three[9] == rows[8][1]
+
+
+@pytest.mark.parametrize("n", [6, 9, 12, 17, 40])
+def test_a_leaf_has_as_many_templates_as_it_takes(spark, n):
+    kinds = "abcdefghijkl"
+    line = lambda kind, k: " ".join(["all", "lines", "begin", *[f"{kind}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}" for i in range(3, n - 1)], f"end{'uvwxyz'[k]}"])
+    rows = [(k, "\n".join([f"own{'uvwxyz'[k]} text of a document"] + [line(kind, k) for kind in kinds])) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in template_tree.dedup_lines(docs).collect()}
+    assert [got[k]["n_dropped"] for k in range(5)] == [0, *[len(kinds)] * 4]
