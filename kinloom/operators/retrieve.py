@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from kinloom.functions.arrays import jaccard
 
 
+#: Parts into which posting lists are dealt when none is left out.
+SALTS = 16
+
+
 def char_grams(c: Column, low: int = 3, high: int = 5) -> Column:
     """Distinct character n-grams of the given sizes."""
 
@@ -29,15 +33,20 @@ def document_frequencies(index: DataFrame, parts: tuple[str, ...] = ()) -> DataF
     return index.groupBy(*parts, "token").agg(F.count("*").alias("df"))
 
 
-def route(queries: DataFrame, index: DataFrame, n_docs: int, name: str, k: int, max_df: int, query: str = "qid", key: str = "id", parts: tuple[str, ...] = ()) -> DataFrame:
+def route(queries: DataFrame, index: DataFrame, n_docs: int, name: str, k: int, max_df: int | None, query: str = "qid", key: str = "id", parts: tuple[str, ...] = ()) -> DataFrame:
     """(qid, id, route, route_score, route_rank): the k best of each query by summed inverse document frequency.
 
-    Tokens above max_df select nothing by themselves, so no long posting list is joined; ties go to the smaller id.
+    Tokens above max_df select nothing by themselves, so no long posting list is joined; with None every token counts,
+    and posting lists are dealt by the hash of their keys. Ties go to the smaller id.
     """
     df = document_frequencies(index, parts)
-    rare = df.where(F.col("df") <= max_df).withColumn("idf", F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1)))
+    rare = (df if max_df is None else df.where(F.col("df") <= max_df)).withColumn("idf", F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1)))
     keys = [*parts, "token"]
-    hits = queries.join(rare, keys).join(index, keys).groupBy(query, key).agg(F.sum("idf").alias("route_score"))
+    asked = queries.join(rare, keys)
+    if max_df is None:
+        asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        index, keys = index.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), [*keys, "_salt"]
+    hits = asked.join(index, keys).groupBy(query, key).agg(F.sum("idf").alias("route_score"))
     best = Window.partitionBy(query).orderBy(F.desc(F.round("route_score", 9)), key)
     return hits.withColumn("route_rank", F.row_number().over(best)).where(F.col("route_rank") <= k).withColumn("route", F.lit(name)).select(query, key, "route", "route_score", "route_rank")
 

@@ -368,19 +368,21 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 # Retrieval: benchmark items ask, documents answer
 
-#: Tokens in more documents than this select nothing; candidates of a route and of the budget.
+#: Tokens in more documents than this select nothing where the SQL has the same limit; candidates of a route and of the budget.
 MAX_DF, ROUTE_K, BUDGET_K = 200, 30, 10
 _WORDS = r"[\p{L}\p{N}]+"
 
 
-def _routes(spark: SparkSession, d: str) -> list[DataFrame]:
+def _routes(spark: SparkSession, d: str, whole: bool = False) -> list[DataFrame]:
+    """As the SQL has them, or whole: every token counts, and documents are counted."""
     ask = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), X.words(F.lower("text")).alias("w"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.words(F.lower("text")).alias("w"))
+    n_docs, max_df = (docs.count(), None) if whole else (1_000_000, MAX_DF)
     out = []
     for name, least in (("words", 1), ("long_words", 9)):
         keep = lambda w, least=least: F.filter(w, lambda t: F.length(t) >= least)
         index = retrieve.postings(docs, "id", keep(F.col("w")))
-        out.append(retrieve.route(retrieve.postings(ask, "qid", keep(F.col("w"))), index, 1_000_000, name, ROUTE_K, MAX_DF))
+        out.append(retrieve.route(retrieve.postings(ask, "qid", keep(F.col("w"))), index, n_docs, name, ROUTE_K, max_df))
     return out
 
 
@@ -418,7 +420,7 @@ def candidate_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieve.budget(retrieve.fuse(_routes(spark, d)), BUDGET_K).select("qid", "id", "final_candidate_rank")
+    found = retrieve.budget(retrieve.fuse(_routes(spark, d, whole=True)), BUDGET_K).select("qid", "id", "final_candidate_rank")
     best = found.where("final_candidate_rank = 1").select("qid", "id")
     return retrieve.hard_negatives(found, best, found.where("false").select("qid"), 5)
 

@@ -179,3 +179,20 @@ def test_retrieval(spark):
     assert [x["id"] for x in top] == ["t1", "t4"] and top[0]["rrf"] == pytest.approx(1 / 61 + 1 / 62)
     out = retrieve.with_manifest(spark.createDataFrame([("q",), ("p",)], "qid string"), retrieve.budget(f, 2))
     assert out.where("id IS NULL").count() == 1
+
+
+def test_hard_negatives_count_common_words(spark, tmp_path):
+    from kinloom.plans import catalog
+
+    texts = {k: " ".join(["everybody", "somebodyelse" if k % 2 else "othermatter", *(["occasionally"] if k % 3 == 0 else [])]) for k in range(600)}
+    asked = {1: "everybody occasionally somebodyelse", 2: "othermatter", 3: "everybody"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = {w: sum(w in t.split() for t in texts.values()) for w in " ".join(texts.values()).split()}
+    got = {}
+    for r in catalog.hard_negatives(spark, str(tmp_path)).collect():
+        got.setdefault(r["qid"], []).append((r["final_candidate_rank"], r["id"]))
+    for q, words in asked.items():
+        score = {k: sum(math.log(601 / (df[w] + 1)) for w in set(words.split()) & set(t.split())) for k, t in texts.items() if set(words.split()) & set(t.split())}
+        best = sorted(score, key=lambda k: (-round(score[k], 9), k))[:6]
+        assert [x[1] for x in sorted(got[q])] == best[1:]
