@@ -9,9 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
-#: An odd multiplier with 2 mod 4 both below and above it, so that differences of its powers keep most bits.
-_BASE = np.uint64(0x9E3779B97F4A7C13 | 1)
-_MASK = (1 << 64) - 1
+#: What a byte's place in its word adds before mixing: the golden ratio as a 64-bit fraction, odd.
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LETTERS = np.zeros(256, dtype=bool)
@@ -27,19 +26,6 @@ def _byte_codes(fold_ascii: bool) -> np.ndarray:
 
 
 _CODES = {False: _byte_codes(False), True: _byte_codes(True)}
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, to n at least."""
-    if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("p", _BASE), ("q", inverse)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["p"], _powers["q"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,10 +62,15 @@ class Block:
                 begins[at] = ends[at] = True
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
-        p, q = _power_tables(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_CODES[fold_ascii][buf] * p[: len(buf)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * q[self.start] + (self.end - self.start).astype(np.uint64))
+        # each byte at each place in a word has a mixed value of its own, and a word's hash is that of their sum: no word's bytes are a polynomial in another's
+        place = np.arange(len(buf), dtype=np.int64)
+        if len(self.start):
+            place -= self.start[np.maximum(np.cumsum(begins) - 1, 0)]
+            value = mix(_CODES[fold_ascii][buf] + place.view(np.uint64) * _PLACE)
+            value[~inside] = 0
+            self.hash = mix(np.add.reduceat(value, self.start) + (self.end - self.start).astype(np.uint64))
+        else:
+            self.hash = np.zeros(0, dtype=np.uint64)
 
     @property
     def counts(self) -> np.ndarray:
@@ -153,7 +144,6 @@ class TypeTable:
         return out[back]
 
 
-
 def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The stretches of a pool, one after another."""
     ends = np.cumsum(length)
