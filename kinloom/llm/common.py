@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -69,6 +70,41 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+class Shelf:
+    """Intermediate tables of one call, as Parquet in the shared folder: only the columns that are read come back, and small files share a task.
+
+    `close` deletes them all; what is returned to a caller must be cut from them before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.count = spark, f"{shared_dir(spark)}/kinloom-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        at = f"{self.top}/{self.count}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *what) -> None:
+        self.close()
+
+
+#: Bytes up to which a side is broadcast, by its counted rows; beyond that the join shuffles.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(side: DataFrame, row_bytes: int) -> DataFrame:
+    """The side, marked to be broadcast if its rows, counted, fit into BROADCAST_BYTES at `row_bytes` each."""
+    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
+
+
 def words_of(text: Column) -> Column:
     """The non-empty words of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from kinloom.llm import hash_tree, histogram_pack, prefix_bpe, rule_ledger, set_relation_join, template_tree
+from kinloom.llm.common import Shelf
 from kinloom.llm.components import components
 
 WORD_BPE, BYTE_BPE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -198,10 +199,33 @@ def test_join_on_chains_of_edits(spark):
     assert got == brute_components(docs.collect())
 
 
+def thue_morse() -> tuple[str, str]:
+    """Two words of 1,024 letters whose polynomial hashes modulo 2^64 are equal for any base and any values of the letters."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse()
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{two} {one}")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in set_relation_join.link_components(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    texts = dict(docs.collect())
+    for r in prefix_bpe.encode_texts(docs, WORD_BPE).collect():
+        ids = LIBRARY.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+    got = {r["doc_id"]: r["ids_crc32"] for r in histogram_pack.pack_documents(docs, BYTE_BPE).collect() if r["piece"] == 0 and r["length"] < 1024}
+    assert got
+    for doc_id, crc in got.items():
+        assert crc == zlib.crc32(np.array([*BYTES.encode(texts[doc_id], add_special_tokens=False).ids, 2], dtype="<u4").tobytes())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (9, 8), (7, 7), (20, 21), (None, 3), (1, None)], "a long, b long")
-    assert {r["node"]: r["label"] for r in components(edges).collect()} == {3: 3, 4: 3, 5: 3, 8: 3, 9: 3, 20: 20, 21: 20}
-    assert components(edges.where("false")).count() == 0
+    with Shelf(spark) as shelf:
+        assert {r["node"]: r["label"] for r in components(shelf, edges).collect()} == {3: 3, 4: 3, 5: 3, 8: 3, 9: 3, 20: 20, 21: 20}
+        assert components(shelf, edges.where("false")).count() == 0
 
 
 def test_line_templates(spark, odd_docs, no_docs):
@@ -243,3 +267,11 @@ def test_a_leaf_has_as_many_templates_as_it_takes(spark, n):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in template_tree.dedup_lines(docs).collect()}
     assert [got[k]["n_dropped"] for k in range(5)] == [0, *[len(kinds)] * 4]
+
+
+def test_four_templates_of_four_documents(spark):
+    """Templates of one leaf (token count and leading tokens), each with a variable field in the middle and one at the end."""
+    line = lambda t, k: f"please read this {' '.join(f'{w}{t}' for w in ('note', 'about', 'our', 'terms', 'and', 'prices'))} {'pqrs'[k]}{t} before you go on {'uvwx'[k]}end"
+    rows = [(10 * k + i, f"own{'abcd'[k]}{'efgh'[i]} text of this document\n{line('abcd'[i], k)}") for k in range(4) for i in range(4)]
+    got = {r["doc_id"]: r["n_dropped"] for r in template_tree.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [sum(got[10 * k + i] for k in range(4)) for i in range(4)] == [3, 3, 3, 3] and all(got[i] == 0 for i in range(4))
