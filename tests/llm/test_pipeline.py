@@ -33,6 +33,17 @@ def test_stages(spark):
         assert stage(spark, nothing, SF).count() == 0
 
 
+def test_rows_with_one_id(spark):
+    """A text that is linked with nothing stays, whatever else has its id; of each group one row stays, of rows without an id too."""
+    t, u, v = (" ".join(f"{c}{k}" for k in range(30)) for c in "tuv")
+    rows = [(1, t), (8, t), (8, u), (None, u), (None, v), (None, v + " end"), (9, u), (9, u), (7, None), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "1 AS again", "2 AS label")
+    out = corpus_pipeline.join_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = sorted((str(r["doc_id"]), str(r["text"])[:3]) for r in out.collect())
+    assert left == sorted([("1", "t0 "), ("8", "u0 "), ("None", "v0 "), ("7", "Non"), ("7", "Non"), ("7", "")])
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
