@@ -1,12 +1,12 @@
 """Nearest neighbours by inner product with multi-index hashing over learned rotated binary codes.
 
 A rotation learned on a bounded sample (principal axes, then alternating sign and Procrustes steps) turns the
-directions of vectors into codes of 64 bits; Hamming distance follows the angle. A code is cut into substrings, and each substring has an index of its own. If two
-codes differ in at most m * (a + 1) - 1 of their bits, one of their m substrings differs in at most a: probing
-every index within a retrieves every code within that radius. Codes within the radius are reranked by the inner
-product of the original vectors in double precision. A query's radius grows until codes beyond it are unlikely
-(by a stated number of standard deviations) to be nearer than its k-th found; as the inner product also grows
-with a row's norm, rows have their radius by bands of norms.
+directions of vectors into codes of 64 bits; Hamming distance follows the angle. A code is cut into substrings, and
+each substring has an index of its own. If two codes differ in at most m * (a + 1) - 1 of their bits, one of their m
+substrings differs in at most a: probing every index within a retrieves every code within that radius. Only codes
+within the radius are reranked, by the inner product of the original vectors in double precision. A query's radius
+grows until codes beyond it are unlikely (by a stated number of standard deviations) to be nearer than its k-th
+found; as the inner product also grows with a row's norm, rows have their radius by bands of norms.
 
 Every row is indexed. Index and queries are dealt into blocks and each pair of blocks is a task, so that no task
 holds more than a block of each.
@@ -30,7 +30,7 @@ BITS, PART = 64, 16
 #: Rows on which the rotation is fitted, at most.
 SAMPLE = 8192
 #: Standard deviations of the Hamming distance that the radius reaches beyond the k-th found.
-REACH = 2.0
+REACH = 1.5
 #: Rows of a block of the index, and of the queries.
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 4_096
 
@@ -67,43 +67,38 @@ def fit(sample: np.ndarray, rounds: int = 30, seed: int = 7) -> Coder:
     return Coder(axes @ rotation)
 
 
-def patterns(radius: int) -> np.ndarray:
-    """All substrings with at most `radius` bits set."""
-    every = np.arange(1 << PART, dtype=np.uint32)
-    return every[np.bitwise_count(every) <= radius].astype(np.uint16)
-
-
 class SubstringIndexes:
-    """For each substring of the codes, the rows of every value, one value's after another's."""
+    """For each substring of the codes, the values that occur and the rows of each, one value's after another's."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.whole = np.ascontiguousarray(codes).view(np.uint64).ravel()
-        self.rows, self.first = [], []
+        self.values, self.of_row, self.rows, self.first = [], [], [], []
         for s in range(codes.shape[1]):
-            self.rows.append(np.argsort(codes[:, s], kind="stable"))
-            self.first.append(np.concatenate([[0], np.cumsum(np.bincount(codes[:, s], minlength=1 << PART))]))
-
-    def probe(self, queries: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of all codes within m * (a + 1) - 1 bits: the rows of every value within a bits in any index, then the whole distance."""
-        m, near = queries.shape[1], patterns(a)
-        pairs = []
+            values, back = np.unique(codes[:, s], return_inverse=True)
+            self.values.append(values)
+            self.of_row.append(back)
+            self.rows.append(np.argsort(back, kind="stable"))
+            self.first.append(np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(values)))]))
+
+    def probe(self, queries: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, bits) of all codes within m * (a + 1) - 1 bits: the rows of every value within a bits in any index, then the whole distance."""
+        m = queries.shape[1]
+        found = np.zeros((len(queries), len(self.codes)), dtype=bool)
         for s in range(m):
-            rows, first = self.rows[s], self.first[s]
-            keys = (queries[:, s][:, None] ^ near[None, :]).astype(np.int64)
-            start, size = first[keys].ravel(), (first[keys + 1] - first[keys]).ravel()
-            ends = np.cumsum(size)
-            at = np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-            pairs.append(np.repeat(np.arange(len(queries)), size.reshape(keys.shape).sum(axis=1)) * len(self.codes) + rows[at])
-        q, r = np.divmod(np.unique(np.concatenate(pairs)), max(len(self.codes), 1))
-        whole = np.ascontiguousarray(queries).view(np.uint64).ravel()
-        ok = np.bitwise_count(whole[q] ^ self.whole[r]) <= m * (a + 1) - 1
-        return q[ok], r[ok]
-
-    def within(self, queries: np.ndarray, radius: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """(queries, rows) mask of the codes within each query's radius for the row's band, for radii at which more values would be probed than there are rows: the codes are compared themselves."""
-        whole = np.ascontiguousarray(queries).view(np.uint64).ravel()
-        return np.bitwise_count(whole[:, None] ^ self.whole[None, :]) <= (radius if radius.shape[1] == 1 else radius[:, band])
+            near = np.bitwise_count(queries[:, s][:, None] ^ self.values[s][None, :]) <= a
+            if near.mean() > 0.02:  # of many values, all rows' are looked up
+                found |= near[:, self.of_row[s]]
+            else:
+                q, v = np.nonzero(near)
+                size = self.first[s][v + 1] - self.first[s][v]
+                ends = np.cumsum(size)
+                at = np.repeat(self.first[s][v] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+                found[np.repeat(q, size), self.rows[s][at]] = True
+        q, r = np.nonzero(found)
+        bits = np.bitwise_count(np.ascontiguousarray(queries).view(np.uint64).ravel()[q] ^ self.whole[r])
+        ok = bits <= m * (a + 1) - 1
+        return q[ok], r[ok], bits[ok]
 
 
 def needed_radius(similarity: np.ndarray, reach: float) -> np.ndarray:
@@ -112,59 +107,65 @@ def needed_radius(similarity: np.ndarray, reach: float) -> np.ndarray:
     return BITS * p + reach * np.sqrt(BITS * p * (1 - p))
 
 
-#: Bits by which a substring may differ in the first probing; rows whose k-th score gives a wide search its radius.
-FIRST_PROBE, SEED_ROWS = 1, 2048
+#: Queries that probe at once, and pairs whose inner products are worked out at once.
+QUERIES_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 17
+
 
+def products(q: np.ndarray, a: np.ndarray, x: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows a of q with rows b of x; of a pair always the same sum, whatever else is asked."""
+    out = np.empty(len(a))
+    for k in range(0, len(a), PAIRS_AT_ONCE):
+        out[k : k + PAIRS_AT_ONCE] = (q[a[k : k + PAIRS_AT_ONCE]] * x[b[k : k + PAIRS_AT_ONCE]]).sum(axis=1)
+    return out
 
-def search_block(coder: Coder, reach: float, k: int, qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k best found in a block, ties to the smaller id."""
+
+def search_block(coder: Coder, reach: float, k: int, qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, row, score) of each query's k best found in a block, ties to the smaller id, and how many inner products that took.
+
+    Probing goes on bit by bit: in each round every index is probed one bit further, and codes that come within the
+    radius are reranked. A query is done when its k-th found asks for no wider radius. All rows that tie with the
+    k-th are kept until ids decide.
+    """
     index = SubstringIndexes(coder.codes(x))
     codes = coder.codes(q)
     size = norms(x)
     # rows by bands of an eighth of an octave of their norms; each band has the radius of its largest norm
     step, band = np.unique(np.ceil(8 * np.log2(size / size.max()) - 1e-9), return_inverse=True)
     largest = size.max() * 2.0 ** (step / 8)
-    scale = norms(q) * size.max()
+    length = norms(q)
     m = codes.shape[1]
-    rows_q, rows_x = [], []
-    for begin in range(0, len(q), 256):
-        part = np.arange(begin, min(begin + 256, len(q)))
-        # close codes, by probing the indexes
-        a, b = index.probe(codes[part], FIRST_PROBE)
-        score = np.einsum("nd,nd->n", q[part[a]], x[b])
-        order = np.lexsort((-score, a))
-        a, b, score = a[order], b[order], score[order]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        kth = np.full(len(part), -np.inf)
-        kth[a[place == k - 1]] = score[place == k - 1]
-        need = np.where(np.isfinite(kth), needed_radius(kth / scale[part], reach), np.inf)
-        wide = need > m * (FIRST_PROBE + 1) - 1
-        near = ~wide[a] & (place < k + 12)
-        rows_q.append(part[a[near]]), rows_x.append(b[near])
-        # the rest within the radius that their k-th so far, or that of some rows, asks for
-        if wide.any():
-            left = part[wide]
-            scores = q[left] @ x.T
-            seed = min(SEED_ROWS, len(x))
-            low = np.partition(scores[:, :seed], seed - k, axis=1)[:, seed - k] if seed >= k else np.full(len(left), -np.inf)
-            low = np.maximum(low, kth[wide])
-            ratio = np.where(np.isfinite(low), low, -np.inf)[:, None] / (norms(q[left])[:, None] * largest[None, :])
-            radius = np.where(ratio > 1 + 1e-9, -1.0, needed_radius(ratio, reach))
-            radius[~np.isfinite(low)] = BITS
-            inside = index.within(codes[left], radius, band)
-            take = min(k + 12, len(x))
-            inside[inside.sum(axis=1) < take] = True
-            scores[~inside] = -np.inf
-            best = np.argpartition(scores, len(x) - take, axis=1)[:, len(x) - take :]
-            row, col = np.repeat(np.arange(len(left)), take), best.ravel()
-            ok = np.isfinite(scores[row, col])
-            rows_q.append(left[row[ok]]), rows_x.append(col[ok])
-    row, col = np.concatenate(rows_q), np.concatenate(rows_x)
-    exact = (q[row] * x[col]).sum(axis=1)
-    order = np.lexsort((xid[col], -exact, row))
-    row, col, exact = row[order], col[order], exact[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return qid[row[keep]], xid[col[keep]], exact[keep]
+    out, scored = [], 0
+    for begin in range(0, len(q), QUERIES_AT_ONCE):
+        part = np.arange(begin, min(begin + QUERIES_AT_ONCE, len(q)))
+        radius = np.full((len(part), len(step)), float(BITS))  # that each query still needs, by band
+        row, col, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        before = -1
+        for a in range(PART + 1):
+            open_ = np.flatnonzero(radius.max(axis=1) > before)
+            if not len(open_):
+                break
+            at, b, bits = index.probe(codes[part[open_]], a)
+            at = open_[at]
+            new = (bits > before) & (bits <= radius[at, band[b]])
+            at, b = at[new], b[new]
+            scored += len(at)
+            row, col, score = np.concatenate([row, at]), np.concatenate([col, b]), np.concatenate([score, products(q, part[at], x, b)])
+            order = np.lexsort((-score, row))
+            row, col, score = row[order], col[order], score[order]
+            first = np.searchsorted(row, np.arange(len(part)))
+            full = np.diff(np.append(first, len(row))) >= k
+            kth = np.full(len(part), -np.inf)
+            kth[full] = score[first[full] + k - 1]
+            keep = score >= kth[row]
+            row, col, score = row[keep], col[keep], score[keep]
+            ratio = kth[full][:, None] / (length[part[full]][:, None] * largest[None, :])
+            radius[full] = np.where(ratio > 1 + 1e-9, -1.0, needed_radius(ratio, reach))
+            before = m * (a + 1) - 1
+        order = np.lexsort((xid[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((qid[part[row[best]]], xid[col[best]], score[best]))
+    return *(np.concatenate(c) for c in zip(*out, strict=True)), scored
 
 
 def _sound(embedding: Column, size: int | None = None) -> Column:
@@ -215,7 +216,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
         if not len(asked_rows) or not len(index_rows):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         found = search_block(coder, reach, k + 1, asked_rows["id"].to_numpy(), matrix(asked_rows["v"]), index_rows["id"].to_numpy(), matrix(index_rows["v"]))
-        return pa.table([pa.array(c) for c in found], names)
+        return pa.table([pa.array(c) for c in found[:3]], names)
 
     cells = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInArrow(run, "lead long, vec_id long, score double")
     best = Window.partitionBy("lead").orderBy(F.desc("score"), "vec_id")

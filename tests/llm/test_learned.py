@@ -132,12 +132,46 @@ def test_indexes_find_every_code_within_the_radius():
     codes[:50] ^= (1 << rng.integers(0, 16, (50, 4))).astype(np.uint16)
     index = multi_index_hash.SubstringIndexes(codes)
     for a in (0, 1, 2):
-        q, r = index.probe(codes[:60], a)
+        q, r, bits = index.probe(codes[:60], a)
+        assert (bits <= 4 * (a + 1) - 1).all()
         whole = np.ascontiguousarray(codes).view(np.uint64).ravel()
         want = np.argwhere(np.bitwise_count(whole[:60, None] ^ whole[None, :]) <= 4 * (a + 1) - 1)
         assert sorted(zip(q.tolist(), r.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
 
 
+@pytest.mark.parametrize("order", range(10))
+def test_ties_with_the_last_go_by_id(spark, order):
+    """Twenty nearer rows and 21 copies of the next vector: the smallest ids of the copies, whatever the rows' order."""
+    rng = np.random.default_rng(order)
+    base = rng.normal(size=16)
+    near, tied = base * 2 + 0.01 * rng.normal(size=(19, 16)), base * 1.5
+    x = np.concatenate([base[None, :], near, np.repeat(tied[None, :], 21, axis=0), rng.normal(size=(200, 16)) * 0.1])
+    ids, at = np.arange(len(x)), rng.permutation(len(x))
+    coder = multi_index_hash.fit(x)
+    q, got, score, _ = multi_index_hash.search_block(coder, 1.5, 21, ids[:1], x[:1], ids[at], x[at])
+    assert got.tolist() == np.lexsort((ids, -(x[:1] * x).sum(axis=1)))[:21].tolist()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_search_of_the_whole_table(spark, sf):
+    """Recall against brute force, and that results come from probed codes: fewer inner products than pairs are worked out."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    table = df.toPandas()
+    x = np.array(table["embedding"].tolist(), dtype=float)
+    ids = table["vec_id"].to_numpy()
+    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    x, ids = x[ok], ids[ok]
+    asked = np.flatnonzero(ids % 20 == 0)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    kth = dict(zip(ids[asked].tolist(), np.sort(scores, axis=1)[:, -20], strict=True))
+    rows = queries()["op4_multi_index_hash"](spark, f"/root/testdata/{sf}").collect()
+    assert len(rows) == 20 * len(asked)
+    assert sum(r["score"] >= kth[r["query_id"]] - 1e-9 for r in rows) / len(rows) >= 0.95
+    *_, scored = multi_index_hash.search_block(multi_index_hash.fit(x), multi_index_hash.REACH, 21, ids[asked], x[asked], ids, x)
+    assert scored < 0.7 * len(asked) * len(x)
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_runs_whole(spark, name):
     d = "/root/testdata/sf0.001"
