@@ -11,20 +11,24 @@ over its words with letters.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import carried, rows_of, ship
 from .textcore import Block, TypeTable, blocks, mix
 
-#: Hash slots of emission weights; bytes of a word that are looked at; words of a segment.
-SLOTS, WIDTH, SEGMENT = 1 << 17, 20, 64
-#: Labelled rows of each language to learn from, at most; stretches of each, and their characters.
+#: Hash slots of emission weights; bytes of a piece, longer words are several; words of a segment.
+SLOTS, WIDTH, SEGMENT = 1 << 17, 18, 64
+#: Sampled stretches from which a word of one language is in the lexicon, and the share of its stretches that are of that language.
+LEXICON_TEXTS, LEXICON_SHARE = 3, 0.8
+#: Labelled rows of each language to learn from, about; stretches of each, and their characters.
 SAMPLE_ROWS, STRETCHES, STRETCH_CHARS = 500, 2, 300
+#: Languages that are learned, at most: those of most rows.
+LANGS = 1000
 #: Characters before which a word of letters is cut.
 MARKS = b".,!?;:|"
 UNDETERMINED = "und"
@@ -35,8 +39,34 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def features(chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, present) of each word's features: itself, prefixes and suffixes of 1 to 4 bytes, n-grams of 2 and 3 bytes. A-Z are folded."""
+@dataclass
+class Lexicon:
+    """Words of one language, as sorted hashes, each with the number of its language."""
+
+    words: np.ndarray
+    label: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The number of the language of each word, -1 if the word is not in the lexicon."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.label[at], -1)
+
+
+NO_LEXICON = Lexicon(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
+def word_names(chars: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each whole word, A-Z folded."""
+    out = length.astype(np.uint64)
+    for k in range(chars.shape[1]):
+        out = np.where(k < length, mix(out * np.uint64(257) + _FOLD[chars[:, k]].astype(np.uint64)), out)
+    return out
+
+
+def features(chars: np.ndarray, length: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, present) of each word's features: its language in the lexicon, itself, prefixes and suffixes of 1 to 4 bytes, n-grams of 2 and 3 bytes. A-Z are folded."""
     c = _FOLD[chars].astype(np.uint64)
     n, width = c.shape
     where = np.arange(width)[None, :]
@@ -46,6 +76,8 @@ def features(chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndar
         out.append((mix(value * np.uint64(64) + np.uint64(kind)) & np.uint64(SLOTS - 1)).astype(np.int32))
         has.append(present)
 
+    known = lexicon.of(word_names(chars, length))
+    add(np.maximum(known, 0).astype(np.uint64), 12, known >= 0)
     whole = np.zeros(n, dtype=np.uint64)
     for k in range(width):
         whole = np.where(k < length, whole * np.uint64(0x100000001B3) + c[:, k] + np.uint64(1), whole)
@@ -74,12 +106,13 @@ class Chain:
     move: np.ndarray
     first: np.ndarray
     sharpness: float = 8.0
+    lexicon: Lexicon = field(default_factory=lambda: NO_LEXICON)
 
     def emissions(self, chars: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Log scores of words, in blocks to bound memory."""
         out = np.empty((len(chars), len(self.labels)), dtype=np.float32)
         for a in range(0, len(chars), 1 << 15):
-            slots, has = features(chars[a : a + (1 << 15)], length[a : a + (1 << 15)])
+            slots, has = features(chars[a : a + (1 << 15)], length[a : a + (1 << 15)], self.lexicon)
             total = np.zeros((len(slots), len(self.labels)), dtype=np.float32)
             for k in range(slots.shape[1]):
                 total += np.where(has[:, k, None], self.emit[slots[:, k]], 0)
@@ -142,6 +175,20 @@ class Chain:
         return out
 
 
+def learn_lexicon(words: np.ndarray, text: np.ndarray, tag: np.ndarray, labels: int) -> Lexicon:
+    """The words that LEXICON_TEXTS texts of a language have, and few texts of others."""
+    order = np.lexsort((text, words))
+    w, t, y = words[order], text[order], tag[order]
+    once = np.concatenate([[True], (w[1:] != w[:-1]) | (t[1:] != t[:-1])]) if len(w) else np.zeros(0, dtype=bool)
+    kinds, at = np.unique(w[once], return_inverse=True)
+    counts = np.zeros((len(kinds), labels))
+    np.add.at(counts, (at, y[once]), 1)
+    best = counts.argmax(axis=1)
+    most = counts.max(axis=1) if len(kinds) else np.zeros(0)
+    keep = (most >= LEXICON_TEXTS) & (most >= LEXICON_SHARE * counts.sum(axis=1))
+    return Lexicon(kinds[keep], best[keep])
+
+
 def train(texts: list[tuple[bytes, str]], epochs: int = 6, length: int = 24, seed: int = 11) -> Chain:
     """Conditional maximum likelihood by mini-batches over stretches of words; half of the stretches switch language in the middle."""
     labels = sorted({lang for _, lang in texts}) or [UNDETERMINED]
@@ -150,16 +197,17 @@ def train(texts: list[tuple[bytes, str]], epochs: int = 6, length: int = 24, see
     if m < 2:
         return chain
     rng = np.random.default_rng(seed)
-    slots, has, owner = [], [], []
+    chars, size, owner = [], [], []
     column = pa.array([t for t, _ in texts], pa.binary())
-    for low, _, block in blocks(column, fold_ascii=True, marks=MARKS):
+    for low, _, block in blocks(column, fold_ascii=True, marks=MARKS, width=WIDTH):
         at = letter_words(block)
-        for k in range(0, len(at), 1 << 15):
-            s, h = features(*block.characters(at[k : k + (1 << 15)], WIDTH))
-            slots.append(s), has.append(h)
-        owner.append(block.doc[at] + low)
-    slots, has, owner = (np.concatenate(x) for x in (slots, has, owner))
+        c, n = block.characters(at, WIDTH)
+        chars.append(c), size.append(n), owner.append(block.doc[at] + low)
+    chars, size, owner = (np.concatenate(x) for x in (chars, size, owner))
     tag = np.array([labels.index(lang) for _, lang in texts])[owner]
+    chain.lexicon = learn_lexicon(word_names(chars, size), owner, tag, m)
+    parts = [features(chars[k : k + (1 << 15)], size[k : k + (1 << 15)], chain.lexicon) for k in range(0, len(chars), 1 << 15)]
+    slots, has = (np.concatenate(x) for x in zip(*parts, strict=True))
     # stretches of one text; runs of `length` words
     runs = [np.arange(i, i + length) for i in range(0, len(owner) - length, length) if owner[i] == owner[i + length - 1]]
     if not runs:
@@ -229,14 +277,21 @@ def letter_words(block: Block) -> np.ndarray:
 
 
 def sample_texts(docs: DataFrame, usable: Column, doc_id: str, text: str, lang: str) -> list[tuple[bytes, str]]:
-    """Stretches of at most SAMPLE_ROWS labelled rows of each language: those with the smallest hashes of their id."""
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.length(text)).alias("h"))
-    best = rows.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("_k") <= SAMPLE_ROWS)
+    """Stretches of about SAMPLE_ROWS labelled rows of each of the LANGS most frequent languages: those whose hash of the id is below the language's share.
+
+    Rows are counted by language first; then each row tells by itself whether it is in the sample, and only its
+    stretches leave it.
+    """
+    h = F.xxhash64(F.col(doc_id), F.length(text))
+    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    share = F.broadcast(counts.select("lang", (SAMPLE_ROWS / F.col("n")).alias("share")))  # LANGS rows
     room = F.greatest(F.length("text") - STRETCH_CHARS, F.lit(0))
     at = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), room + 1).cast("int") + 1
     pieces = F.array(*[F.substring(F.col("text"), at(k), F.lit(STRETCH_CHARS)) for k in range(STRETCHES)])
-    got = best.select("lang", "h", F.explode(pieces).alias("piece")).orderBy("lang", "h", "piece").collect()
-    return [(r["piece"].encode(), r["lang"]) for r in got]
+    best = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h")).join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    got = best.select("lang", "h", F.explode(pieces).alias("piece")).collect()
+    return [(piece.encode(), lang) for lang, _, piece in sorted(map(tuple, got))]
 
 
 def identify(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -255,7 +310,7 @@ def identify(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str =
         table = TypeTable(len(own.labels))
         m = len(own.labels)
         for batch in batches:
-            for low, high, block in blocks(batch.column(words_in), fold_ascii=True, marks=MARKS):
+            for low, high, block in blocks(batch.column(words_in), fold_ascii=True, marks=MARKS, width=WIDTH):
                 at = letter_words(block)
                 scores = table.of(block.hash[at], lambda k, at=at, block=block: own.emissions(*block.characters(at[k], WIDTH))) if len(at) else np.zeros((0, m))
                 counts = np.bincount(block.doc[at], minlength=block.n)
@@ -282,7 +337,7 @@ def identify(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str =
 def label_words(text: str, chain: Chain) -> list[tuple[str, str, float]]:
     """(word, label, probability) of the words with letters of one text: the spans of code-switched text."""
     out = []
-    for _, _, block in blocks(pa.array([text.encode()], pa.binary()), fold_ascii=True, marks=MARKS):
+    for _, _, block in blocks(pa.array([text.encode()], pa.binary()), fold_ascii=True, marks=MARKS, width=WIDTH):
         at = letter_words(block)
         p = chain.marginals(chain.emissions(*block.characters(at, WIDTH)), np.array([0, len(at)]))
         for k, row in zip(at.tolist(), p, strict=True):

@@ -41,10 +41,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Block:
     """Some texts in one buffer, and their words: `start`, `end` (byte places), `doc` (text number), `hash`.
 
-    With `marks`, a word is also cut between an ASCII letter and one of these ASCII characters.
+    With `marks`, a word is also cut between an ASCII letter and one of these ASCII characters; with `width`, into
+    pieces of that many bytes, of which the last may be shorter.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold_ascii: bool = False, marks: bytes = b""):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, fold_ascii: bool = False, marks: bytes = b"", width: int = 0):
         self.buf, self.offsets, self.n = buf, offsets, len(offsets) - 1
         inside = ~_SPACES[buf]
         begins, ends = inside.copy(), np.zeros(len(buf) + 1, dtype=bool)
@@ -61,6 +62,11 @@ class Block:
                 at = np.flatnonzero(_LETTERS[buf[:-1]] & is_mark[buf[1:]]) + 1
                 begins[at] = ends[at] = True
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
+        if width and len(self.start) and int((self.end - self.start).max()) > width:
+            long = np.flatnonzero(self.end - self.start > width)
+            more = [np.arange(a + width, b, width) for a, b in zip(self.start[long].tolist(), self.end[long].tolist(), strict=True)]
+            begins[np.concatenate(more)] = ends[np.concatenate(more)] = True
+            self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         # each byte at each place in a word has a mixed value of its own, and a word's hash is that of their sum: no word's bytes are a polynomial in another's
         place = np.arange(len(buf), dtype=np.int64)
@@ -91,7 +97,7 @@ class Block:
         return chars, length
 
 
-def blocks(column: pa.Array, fold_ascii: bool = False, marks: bytes = b"") -> Iterator[tuple[int, int, Block]]:
+def blocks(column: pa.Array, fold_ascii: bool = False, marks: bytes = b"", width: int = 0) -> Iterator[tuple[int, int, Block]]:
     """(first row, row after the last, block) over a binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -108,7 +114,7 @@ def blocks(column: pa.Array, fold_ascii: bool = False, marks: bytes = b"") -> It
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1)
         last = min(last, n)
-        yield row, last, Block(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row], fold_ascii, marks)
+        yield row, last, Block(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row], fold_ascii, marks, width)
         row = last
 
 

@@ -49,6 +49,16 @@ def test_language(spark, odd_docs, no_docs):
     assert nothing.labels == ["und"] and crf_language.identify(odd_docs, nothing).where("lang_pred <> 'und'").isEmpty()
 
 
+def test_lexicon_and_words_without_blanks():
+    """A word of one language is in the lexicon; of a word longer than WIDTH every byte is read."""
+    texts = [(f"{'abcde'[k % 5]}{w} common {w} {w}{'uvwxyz'[k % 6]}".encode(), lang) for k in range(30) for w, lang in (("chat", "fr"), ("katze", "de"))]
+    chain = crf_language.train(texts)
+    name = lambda w: crf_language.word_names(*crf_language.Block(np.frombuffer(w, np.uint8), np.array([0, len(w)])).characters(np.array([0]), crf_language.WIDTH))
+    assert [chain.lexicon.of(name(w))[0] for w in (b"chat", b"Katze", b"common", b"other")] == [1, 0, -1, -1]
+    tail = crf_language.label_words("q" * 100 + "katze" * 40, chain)
+    assert "".join(w for w, _, _ in tail) == "q" * 100 + "katze" * 40 and tail[-1][1] == "de"
+
+
 def kernel_by_hand(s, t):
     total = 0.0
     for i in itertools.combinations(range(len(s)), 3):
