@@ -17,11 +17,12 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -265,22 +266,31 @@ def _kin(words: list[list[bytes]]) -> np.ndarray:
     return np.array([top(d) for d in range(len(words))])
 
 
+def word_lists(block: Block) -> list[list[bytes]]:
+    """The distinct words of each text that the machine learns from, lower-cased, their first WIDTH bytes."""
+    raw = block.buf.tobytes().lower()
+    each: list[set[bytes]] = [set() for _ in range(block.n)]
+    for d, s, e in zip(block.doc.tolist(), block.start.tolist(), block.end.tolist(), strict=True):
+        if e - s >= ORDER:
+            each[d].add(raw[s : min(e, s + WIDTH)])
+    for d, w in spelled(block):
+        each[d].add(w.lower()[:WIDTH])
+    return [sorted(x) for x in each]
+
+
 def train(texts: list[tuple[bytes, int]], rounds: int = 8) -> Machine:
     """A machine learned from (UTF-8 text, label) pairs."""
+    words = [x for _, _, block in blocks(pa.array([t for t, _ in texts], pa.binary()), fold_ascii=True, marks=MARKS) for x in word_lists(block)]
+    return train_words([(ws, y) for ws, (_, y) in zip(words, texts, strict=True)], rounds)
+
+
+def train_words(texts: list[tuple[list[bytes], int]], rounds: int = 8) -> Machine:
+    """A machine learned from (distinct words of a text, label) pairs."""
     empty = Machine(np.zeros((0, WIDTH), dtype=np.uint8), np.zeros((0, 0)), np.zeros(0), -1.0, 1.0, -3.0)
+    words = [ws for ws, _ in texts]
     label = np.array([y for _, y in texts], dtype=int)
     if not len(label) or label.min() == label.max():
         return empty
-    words: list[list[bytes]] = []
-    for _, _, block in blocks(pa.array([t for t, _ in texts], pa.binary()), fold_ascii=True, marks=MARKS):
-        raw = block.buf.tobytes().lower()
-        each: list[set[bytes]] = [set() for _ in range(block.n)]
-        for d, s, e in zip(block.doc.tolist(), block.start.tolist(), block.end.tolist(), strict=True):
-            if e - s >= ORDER:
-                each[d].add(raw[s : min(e, s + WIDTH)])
-        for d, w in spelled(block):
-            each[d].add(w.lower()[:WIDTH])
-        words += [sorted(x) for x in each]
     has: dict[bytes, list[int]] = defaultdict(list)
     for d, ws in enumerate(words):
         for w in ws:
@@ -315,7 +325,17 @@ def train(texts: list[tuple[bytes, int]], rounds: int = 8) -> Machine:
     base = Machine(marks, np.eye(len(marks)), np.zeros(len(marks)))
     values, vectors = np.linalg.eigh(base.likeness(marks).astype(float) / 2 + base.likeness(marks).T.astype(float) / 2)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
-    z = base.likeness(codes) @ whiten
+    # words unlike every landmark have no features; one stands for them all
+    like = base.likeness(codes)
+    some = like.any(axis=1)
+    some[[place[w] for w in chosen]] = True
+    some[contrast] = True
+    number = np.where(some, np.cumsum(some), 0)
+    z = np.concatenate([np.zeros((1, like.shape[1]), dtype=np.float32), like[some]]) @ whiten
+    place, contrast = {w: int(number[place[w]]) for w in chosen}, number[contrast]
+    of_text = [np.unique(number[ks]) for ks in of_text]
+    clean = np.concatenate([[True], clean[some]])
+    del like
     # witnesses: in a toxic text the words that score highest, at first the chosen ones; in other texts the worst ones, gathered over the rounds
     names = set(chosen)
     picked = {d: [place[w] for w in words[d] if w in names] for d in np.flatnonzero(label == 1)}
@@ -356,12 +376,19 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
 
     Null labels, ids and texts take no part. With labels of one kind only, every text scores the same and low.
     """
-    marked = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).distinct()
-    best = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = marked.where(usable).withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= SAMPLE_ROWS).select("doc_id", "y")
+    marked = labels.where(F.col(doc_id).isNotNull() & usable).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1)").distinct()
+    few = reduce(DataFrame.unionByName, [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for y in (0, 1)])
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    got = rows.join(F.broadcast(few), "doc_id").collect()  # 2 * SAMPLE_ROWS rows of the sample
-    return train(sorted((bytes(r["text"]), r["y"]) for r in got))
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, block in blocks(batch.column(0), fold_ascii=True, marks=MARKS):
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), pa.array(word_lists(block), pa.list_(pa.binary()))], ["y", "words"])
+
+    # 2 * SAMPLE_ROWS rows of the sample, each word of a text once
+    got = rows.join(F.broadcast(few), "doc_id").select("text", "y").mapInArrow(run, "y int, words array<binary>").toArrow()
+    return train_words(sorted(zip(got["words"].to_pylist(), got["y"].to_pylist(), strict=True)))
 
 
 def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
