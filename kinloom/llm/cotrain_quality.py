@@ -1,10 +1,12 @@
-"""Quality classification by co-training two views: what a text is like, and what is known about the page.
-
-The text view measures the words (capitals, symbols, repetition, lengths); the metadata view knows source,
-language and length class only. Each is a logistic model. From a bounded labelled sample and an equally bounded
-pool of unlabelled rows, the views teach each other over rounds: each one's most confident rows of the pool get
-its label in the other's training set. On labelled rows kept aside both are calibrated, and the combination
-weighs their log-odds. Scoring is one pass over the whole texts.
+"""Quality classification by co-training two views: what a text says, and what is known about the page.
+
+The text view has the words themselves, hashed, and rates measured on them (capitals, symbols, repetition, lengths);
+the metadata view has source, language, length class and the layout of the page in lines. Each is a logistic model.
+From a bounded labelled sample and an equally bounded pool of unlabelled rows, the views teach each other over
+rounds: each one's most confident rows of the pool get its label in the other's training set, weighted by how much
+more often than by chance it is right when it is as confident on labelled rows kept aside. On these rows both are
+calibrated too, and the combination weighs their log-odds, never against a view. Scoring is one pass over the whole
+texts.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from .textcore import Block, blocks
 SAMPLE_ROWS, POOL_ROWS = 4000, 4000
 #: Rounds of exchange, and the share of the pool that each view labels in a round.
 ROUNDS, SHARE = 5, 0.05
-#: Hash slots of the metadata's values.
-META_SLOTS = 64
+#: Weight of a row that a view without fault has taught, against 1 of a labelled row.
+TAUGHT = 0.3
+#: Log-odds from which a view is sure.
+SURE = 2.0
+#: Hash slots of the metadata's values, and of the words.
+META_SLOTS, WORD_SLOTS = 64, 256
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -70,6 +76,32 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.abs(x)), x * x], axis=1)
 
 
+def word_features(block: Block) -> np.ndarray:
+    """(texts, WORD_SLOTS) square roots of the words' shares by hash slot."""
+    out = np.zeros((block.n, WORD_SLOTS))
+    np.add.at(out, (block.doc, (block.hash & np.uint64(WORD_SLOTS - 1)).astype(np.int64)), 1)
+    return np.sqrt(out / np.maximum(block.counts, 1)[:, None])
+
+
+def layout_features(block: Block) -> np.ndarray:
+    """(texts, 5) how a page is laid out: its lines, their mean and largest length, the shares of short and of blank ones."""
+    breaks = np.flatnonzero(block.buf == 10)
+    length = np.sort(np.concatenate([breaks, block.offsets[1:]])) - np.sort(np.concatenate([breaks + 1, block.offsets[:-1]]))
+    lines = np.bincount(np.searchsorted(block.offsets, breaks, side="right") - 1, minlength=block.n) + 1
+    first = np.cumsum(lines) - lines
+    mean = lambda x: np.add.reduceat(x.astype(float), first) / lines
+    out = [np.log1p(lines) / 8, np.log1p(mean(length)) / 8, np.log1p(np.maximum.reduceat(length, first)) / 10, mean(length < 40), mean(length == 0)] if block.n else [np.zeros(0)] * 5
+    return np.stack(out, axis=1)
+
+
+def text_view(block: Block) -> np.ndarray:
+    return np.concatenate([expand(text_features(block)), word_features(block)], axis=1)
+
+
+def meta_view(rows: list[tuple[str | None, str | None, int | None]], layout: np.ndarray) -> np.ndarray:
+    return np.concatenate([meta_features(rows), expand(layout)], axis=1)
+
+
 def meta_features(rows: list[tuple[str | None, str | None, int | None]]) -> np.ndarray:
     """(rows, META_SLOTS) indicators of source, language and length class; null is a value of its own."""
     out = np.zeros((len(rows), META_SLOTS))
@@ -116,6 +148,8 @@ class Views:
     of_text: tuple[float, float] = (1.0, 0.0)
     of_meta: tuple[float, float] = (1.0, 0.0)
     blend: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    #: What was taught: (round, teacher, rows labelled 0, rows labelled 1, weight of a 0, weight of a 1).
+    taught: list[tuple[int, str, int, int, float, float]] = field(default_factory=list)
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(combined, text, metadata) probabilities of good quality; 0.5 if nothing was learned."""
@@ -128,42 +162,67 @@ class Views:
         return curve(self.blend[0] * a + self.blend[1] * b + self.blend[2]), curve(a), curve(b)
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Views:
-    """Views learned from labelled rows and a pool; every fourth labelled row is kept aside for calibration."""
+def trust(p: np.ndarray, label: np.ndarray, share: float, value: int) -> float:
+    """How much more often than by chance a view is right on the `share` of rows that it holds most surely to be `value`: 0 by chance, 1 always. Of what few rows show, a standard error is taken off."""
+    order = np.argsort(p if value == 0 else -p, kind="stable")[: max(1, int(np.ceil(share * len(p))))]
+    chance = float(np.mean(label == value))
+    right = (float(np.sum(label[order] == value)) + 1) / (len(order) + 2)
+    return max(0.0, (right - float(np.sqrt(right * (1 - right) / len(order))) - chance) / max(1 - chance, 1e-9))
+
+
+def blended(a: np.ndarray, b: np.ndarray, target: np.ndarray) -> tuple[float, float, float]:
+    """Weights of two log-odds and their offset; a view that would weigh against its own log-odds is left out."""
+    on = [0, 1]
+    while on:
+        model = Logistic(ridge=1.0).fit(np.column_stack([a, b])[:, on], target)
+        w = model.weights[:-1] / model.scale
+        if (w >= 0).all():
+            full = dict(zip(on, w.tolist(), strict=True))
+            return full.get(0, 0.0), full.get(1, 0.0), float(model.weights[-1] - w @ model.mean)
+        on.pop(int(w.argmin()))
+    return 1.0, 0.0, 0.0
+
+
+def cotrain(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Views:
+    """Views learned from labelled rows and a pool; every fourth labelled row is kept aside for trust and calibration."""
     if len(label) < 8 or label.min() == label.max():
         return Views()
     aside = np.arange(len(label)) % 4 == 0
     if label[aside].min() == label[aside].max() or label[~aside].min() == label[~aside].max():
         aside = np.zeros(len(label), dtype=bool)
-    base = {"text": text[~aside], "meta": meta[~aside]}
+    held = aside if aside.any() else np.ones(len(label), dtype=bool)
+    every = {"text": text, "meta": meta}
     pool, y = {"text": pool_text, "meta": pool_meta}, label[~aside].astype(float)
-    given = {"text": np.full(len(pool_text), np.nan), "meta": np.full(len(pool_text), np.nan)}
+    given = {v: np.full(len(pool_text), np.nan) for v in every}
+    weight = {v: np.zeros(len(pool_text)) for v in every}
     rate = y.mean()
+    views = Views()
 
     def model(view: str) -> Logistic:
         has = ~np.isnan(given[view])
-        return Logistic().fit(np.concatenate([base[view], pool[view][has]]), np.concatenate([y, given[view][has]]), np.concatenate([np.ones(len(y)), np.full(int(has.sum()), 0.3)]))
+        return Logistic().fit(np.concatenate([every[view][~aside], pool[view][has]]), np.concatenate([y, given[view][has]]), np.concatenate([np.ones(len(y)), weight[view][has]]))
 
-    for _ in range(ROUNDS if len(pool_text) else 0):
+    for turn in range(rounds if len(pool_text) else 0):
         models = {v: model(v) for v in given}
         for teacher, pupil in (("text", "meta"), ("meta", "text")):
-            p = 1 / (1 + np.exp(-models[teacher].margin(pool[teacher])))
+            p = models[teacher].margin(pool[teacher])
+            sure = models[teacher].margin(every[teacher][held])
             free = np.flatnonzero(np.isnan(given[pupil]))
             order = free[np.argsort(p[free], kind="stable")]
             many = SHARE * len(p)
             low, high = order[: int(many * (1 - rate))], order[len(order) - int(many * rate) :]
-            # a view only teaches what it is sure of
-            given[pupil][low[p[low] < 0.1]] = 0.0
-            given[pupil][high[p[high] > 0.9]] = 1.0
-    views = Views(model("text"), model("meta"))
-    held = aside if aside.any() else np.ones(len(label), dtype=bool)
+            # rows of whose contrary the pupil is sure itself are not taught
+            own = models[pupil].margin(pool[pupil])
+            low, high = low[own[low] < SURE], high[own[high] > -SURE]
+            worth = [trust(sure, label[held], SHARE * (turn + 1) * share, v) for v, share in ((0, 1 - rate), (1, rate))]
+            for rows, value in ((low, 0), (high, 1)):
+                if worth[value] > 0:
+                    given[pupil][rows], weight[pupil][rows] = float(value), TAUGHT * worth[value]
+            views.taught.append((turn, teacher, len(low) if worth[0] > 0 else 0, len(high) if worth[1] > 0 else 0, *worth))
+    views.text, views.meta = model("text"), model("meta")
     target = label[held].astype(float)
     views.of_text, views.of_meta = platt(views.text.margin(text[held]), target), platt(views.meta.margin(meta[held]), target)
-    a = views.of_text[0] * views.text.margin(text[held]) + views.of_text[1]
-    b = views.of_meta[0] * views.meta.margin(meta[held]) + views.of_meta[1]
-    both = Logistic(ridge=1.0).fit(np.column_stack([a, b]), target)
-    w = both.weights[:-1] / both.scale
-    views.blend = (float(w[0]), float(w[1]), float(both.weights[-1] - w @ both.mean))
+    views.blend = blended(views.of_text[0] * views.text.margin(text[held]) + views.of_text[1], views.of_meta[0] * views.meta.margin(meta[held]) + views.of_meta[1], target)
     return views
 
 
@@ -191,15 +250,17 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
         for batch in batches:
             for low, high, block in blocks(batch.column("text")):
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "source", "lang", "n_chars", "y")] + [pa.array(list(text_features(block)), pa.list_(pa.float64()))], ["doc_id", "source", "lang", "n_chars", "y", "f"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "source", "lang", "n_chars", "y")] + [pa.array(list(f), pa.list_(pa.float32())) for f in (text_view(block).astype(np.float32), layout_features(block).astype(np.float32))], ["doc_id", "source", "lang", "n_chars", "y", "f", "layout"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, {_META}, y int, f array<double>").orderBy("doc_id", "n_chars").collect()  # features of the sample's rows
-    if not got:
+    got = rows.mapInArrow(run, f"doc_id {kind}, {_META}, y int, f array<float>, layout array<float>").toArrow()  # features of the sample's rows
+    if not len(got):
         return Views()
-    x = expand(np.array([r["f"] for r in got]))
-    m = meta_features([(r["source"], r["lang"], r["n_chars"]) for r in got])
-    y = np.array([-1 if r["y"] is None else r["y"] for r in got])
+    got = got.sort_by([("doc_id", "ascending"), ("n_chars", "ascending")])
+    wide = lambda c: got[c].combine_chunks().flatten().to_numpy().reshape(len(got), -1).astype(float)
+    x = wide("f")
+    m = meta_view(list(zip(*[got[c].to_pylist() for c in ("source", "lang", "n_chars")], strict=True)), wide("layout"))
+    y = got["y"].fill_null(-1).to_numpy()
     return cotrain(x[y >= 0], m[y >= 0], y[y >= 0], x[y < 0], m[y < 0])
 
 
@@ -224,8 +285,8 @@ def score(docs: DataFrame, views: Views, threshold: float = 0.5, doc_id: str = "
         own = shared.value
         for batch in batches:
             for low, high, block in blocks(batch.column(words_in)):
-                meta = meta_features(list(zip(*[batch.column(c).slice(low, high - low).to_pylist() for c in clash], strict=True)))
-                both, a, b = own.scores(expand(text_features(block)), meta)
+                meta = meta_view(list(zip(*[batch.column(c).slice(low, high - low).to_pylist() for c in clash], strict=True)), layout_features(block))
+                both, a, b = own.scores(text_view(block), meta)
                 both = np.where(block.counts > 0, both, 0.0)
                 yield pa.RecordBatch.from_arrays([*rows_of(batch, kept, low, high), *[pa.array(v) for v in (both, a, b, both >= threshold)]], [*kept, *made])
 

@@ -109,6 +109,58 @@ def test_quality(spark, odd_docs, no_docs):
     assert cotrain_quality.score(docs, cotrain_quality.learn(docs, labels.where("false"), F.lit(True))).where("kept").count() > 900
 
 
+def exchange_by_hand(text, meta, label, pool_text, pool_meta):
+    """The exchange of labels row by row: (taught, pupils' labels)."""
+    C = cotrain_quality
+    aside, every, pool = [k % 4 == 0 for k in range(len(label))], {"text": text, "meta": meta}, {"text": pool_text, "meta": pool_meta}
+    learn, held = [k for k, a in enumerate(aside) if not a], [k for k, a in enumerate(aside) if a]
+    given, log, n = {"text": {}, "meta": {}}, [], len(pool_text)
+    rate = sum(label[k] for k in learn) / len(learn)
+
+    def model(view):
+        rows = sorted(given[view])
+        x = np.array([every[view][k] for k in learn] + [pool[view][k] for k in rows])
+        return C.Logistic().fit(x, np.array([float(label[k]) for k in learn] + [given[view][k][0] for k in rows]), np.array([1.0] * len(learn) + [given[view][k][1] for k in rows]))
+
+    for turn in range(C.ROUNDS):
+        models = {v: model(v) for v in given}
+        for teacher, pupil in (("text", "meta"), ("meta", "text")):
+            says, own = models[teacher].margin(pool[teacher]), models[pupil].margin(pool[pupil])
+            ranked = sorted((k for k in range(n) if k not in given[pupil]), key=lambda k: (says[k], k))
+            counts, worths = [], []
+            sure = [float(models[teacher].margin(every[teacher][k : k + 1])[0]) for k in held]
+            for value, share in ((0, 1 - rate), (1, rate)):
+                best = sorted(range(len(held)), key=lambda j: (sure[j] if value == 0 else -sure[j], j))[: max(1, int(np.ceil(C.SHARE * (turn + 1) * share * len(held))))]
+                right, chance = (sum(label[held[j]] == value for j in best) + 1) / (len(best) + 2), sum(label[k] == value for k in held) / len(held)
+                worths.append(max(0.0, (right - (right * (1 - right) / len(best)) ** 0.5 - chance) / (1 - chance)))
+                many = int(C.SHARE * n * share)
+                chosen = ranked[:many] if value == 0 else ranked[len(ranked) - many :]
+                chosen = [k for k in chosen if (own[k] < C.SURE if value == 0 else own[k] > -C.SURE)]
+                counts.append(chosen)
+            for value in (0, 1):
+                if worths[value] > 0:
+                    given[pupil].update({k: (float(value), C.TAUGHT * worths[value]) for k in counts[value]})
+            log.append((turn, teacher, *[len(c) if w > 0 else 0 for c, w in zip(counts, worths, strict=True)], *worths))
+    return log, model("text"), model("meta")
+
+
+def test_exchange_of_labels():
+    """Two views of their own noise: both teach both labels, as by hand, and nobody weighs against itself."""
+    rng = np.random.default_rng(4)
+    make = lambda n: (y := (rng.random(n) < 0.6).astype(int), *[(2 * y - 1)[:, None] * s + rng.normal(size=(n, d)) for s, d in ((0.5, 6), (0.4, 5))])
+    (y, text, meta), (_, pool_text, pool_meta), (want, more_text, more_meta) = make(400), make(2000), make(3000)
+    views = cotrain_quality.cotrain(text, meta, y, pool_text, pool_meta)
+    log, by_text, by_meta = exchange_by_hand(text, meta, y, pool_text, pool_meta)
+    assert [t[:4] for t in views.taught] == [t[:4] for t in log] and np.allclose([t[4:] for t in views.taught], [t[4:] for t in log])
+    assert np.allclose(views.text.margin(more_text), by_text.margin(more_text)) and np.allclose(views.meta.margin(more_meta), by_meta.margin(more_meta))
+    for teacher in ("text", "meta"):
+        assert all(sum(t[k] for t in views.taught if t[1] == teacher) > 50 for k in (2, 3))
+    assert min(views.blend[:2]) > 0
+    both, a, b = views.scores(more_text, more_meta)
+    right = lambda p: np.mean((p >= 0.5) == (want == 1))
+    assert right(both) > max(right(a), right(b)) > 0.7
+
+
 def test_search(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 24)).astype(np.float32)
