@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: What a byte's place in its word adds before mixing: the golden ratio as a 64-bit fraction, odd.
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = np.zeros(256, dtype=bool)
