@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import unicode as U
-from .vocabulary import LEGAL_ENDINGS, NULL_FIELDS
+from .arrays import mapped
+from .vocabulary import COUNTRY_ABBREVIATIONS, LEGAL_ENDINGS, LEGAL_ENDINGS_FR, NULL_FIELDS
 
 #: White space as Python strips it: Unicode white space and the four separators.
 _SPACE = r"[\s\x1c-\x1f]"
@@ -72,6 +73,27 @@ def legal_form_reduced(c: Column, endings=LEGAL_ENDINGS) -> Column:
     return F.array_join(drop_endings(words(U.casefold_nfkc(U.fold_latin(c))), endings), " ")
 
 
+def legal_form_by_country(c: Column, country: Column) -> Column:
+    """The reduced name; names of France also lose the French legal forms."""
+    french = normalize_country(country).isin("fr", "france")
+    return F.when(french, legal_form_reduced(c, tuple(dict.fromkeys(LEGAL_ENDINGS + LEGAL_ENDINGS_FR)))).otherwise(legal_form_reduced(c))
+
+
+def address_by_country(c: Column, country: Column) -> Column:
+    """Address tokens with the abbreviations of their country written out; those of unknown countries stay as they are."""
+    tokens = tokenize(c)
+    out = tokens
+    for names, table in COUNTRY_ABBREVIATIONS.items():
+        out = F.when(normalize_country(country).isin(*names), mapped(tokens, table)).otherwise(out)
+    return out
+
+
+def address_numbers(c: Column) -> Column:
+    """House numbers as written but for leading zeros: `12/3`, `12a` and `5 bis` stay whole."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([0-9]+(?:/[0-9]+)*(?: (?:bis|ter|quater)\b|[a-z]\b)?)"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "^0+(?=[0-9])", ""), "/0+(?=[0-9])", "/"))
+
+
 def first_letters(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), "")
 

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,10 @@ from pyspark.sql import types as T
 LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "Æ": "AE", "Œ": "OE", "Ø": "O", "Đ": "D", "Ð": "D", "Þ": "Th", "Ł": "L", "ẞ": "SS"}
 
 
+#: A character with the marks behind it; marks at the front of a text stand alone.
+_CLUSTER = regex.compile(r"\P{M}\p{M}*|\p{M}", regex.DOTALL)
+
+
 def _is_mark(c: str) -> bool:
     return unicodedata.category(c)[0] == "M"
 
@@ -33,15 +38,9 @@ def fold_latin_text(text: str) -> str:
 
 @lru_cache(maxsize=65536)
 def unaccent_text(text: str) -> str:
-    """Marks dropped behind Latin letters only, so that vowel signs of other scripts stay."""
-    kept, base = [], ""
-    for c in unicodedata.normalize("NFD", text):
-        if not _is_mark(c):
-            base = c
-        elif unicodedata.name(base, "")[:5] == "LATIN" if base else False:
-            continue
-        kept.append(c)
-    return unicodedata.normalize("NFC", "".join(kept))
+    """Marks dropped behind letters with LATIN in their name, full-width ones among them; vowel signs of other scripts stay."""
+    parts = _CLUSTER.findall(unicodedata.normalize("NFD", text))
+    return unicodedata.normalize("NFC", "".join(p[0] if "LATIN" in unicodedata.name(p[0], "") else p for p in parts))
 
 
 @lru_cache(maxsize=65536)

@@ -18,6 +18,12 @@ NAME_ABBREVIATIONS = {
 }
 DIRECTIONS = {"n": "north", "s": "south", "e": "east", "w": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}
 ADDRESS_ABBREVIATIONS = NAME_ABBREVIATIONS | DIRECTIONS
+#: Address abbreviations by country, under the names of the country; `st` is a street in the one and a saint in the other.
+COUNTRY_ABBREVIATIONS = {
+    ("us", "usa", "united states"): ADDRESS_ABBREVIATIONS,
+    ("in", "india"): {"rd": "road", "st": "street", "ngr": "nagar", "opp": "opposite", "nr": "near", "bldg": "building", "flr": "floor"},
+    ("fr", "france"): {"av": "avenue", "bd": "boulevard", "pl": "place", "st": "saint", "ste": "sainte", "rte": "route", "all": "allee", "imp": "impasse"},
+}
 #: US states and their codes.
 STATES = {
     "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.arrays import jaccard
+from kinloom.functions.hashing import unit_interval
 
 
 #: Parts into which posting lists are dealt when none is left out.
@@ -104,6 +105,33 @@ def retrieval_report(candidate_counts: DataFrame, n: str = "n_candidates", by: t
     return candidate_counts.groupBy(*by).agg(*aggs) if by else candidate_counts.agg(*aggs)
 
 
+def recall_report(truth_pairs: DataFrame, candidates: DataFrame, slices: tuple[str, ...] = (), query: str = "qid", key: str = "id") -> DataFrame:
+    """True pairs, those found, recall, and pairs found by one route only, by slices if given. `truth_pairs` may carry the slices; `candidates` has `routes` as fuse makes it."""
+    rows = truth_pairs.join(candidates.select(query, key, F.map_keys("routes").alias("by")), [query, key], "left")
+    aggs = [F.count("*").alias("n_true"), F.count("by").alias("n_found"), F.avg(F.col("by").isNotNull().cast("double")).alias("recall"), F.count_if(F.size("by") == 1).alias("one_route_only")]
+    return rows.groupBy(*slices).agg(*aggs) if slices else rows.agg(*aggs)
+
+
+def loss_by_fate(truth_pairs: DataFrame, candidates: DataFrame, accepted: DataFrame, query: str = "qid", key: str = "id") -> DataFrame:
+    """(fate, n, loss): what each kind of error takes from macro F0.5. A query's loss is shared equally by its errors."""
+    t, c, a = (d.select(query, key).distinct().withColumn(m, F.lit(True)) for d, m in ((truth_pairs, "t"), (candidates, "c"), (accepted, "a")))
+    rows = t.join(c, [query, key], "full").join(a, [query, key], "full")
+    fate = F.when(F.col("t") & F.col("a"), "matched").when(F.col("t") & F.col("c"), "rejected").when(F.col("t"), "unretrieved").when(F.col("a"), "wrongly_accepted")
+    each = rows.withColumn("fate", fate).where("fate IS NOT NULL")
+    n = {f: F.count_if(F.col("fate") == f) for f in ("matched", "rejected", "unretrieved", "wrongly_accepted")}
+    by_query = each.groupBy(query).agg(*[v.alias(f) for f, v in n.items()])
+    missed, wrong = F.col("rejected") + F.col("unretrieved"), F.col("wrongly_accepted")
+    score = F.when((F.col("matched") + missed == 0) | (F.col("matched") + wrong == 0), F.lit(0.0)).otherwise(1.25 * F.col("matched") / (1.25 * F.col("matched") + 0.25 * missed + wrong))
+    shares = by_query.withColumn("share", (1 - score) / F.nullif(missed + wrong, F.lit(0)))
+    total = shares.agg(*[F.sum(F.when(F.col(f) > 0, F.col(f) * F.col("share")).otherwise(0.0)).alias(f"l_{f}") for f in n if f != "matched"], *[F.sum(f).alias(f) for f in n], F.count("*").alias("q"))
+    return total.select(F.inline(F.array(*[F.struct(F.lit(f).alias("fate"), F.col(f).alias("n"), (F.lit(0.0) if f == "matched" else F.coalesce(F.col(f"l_{f}"), F.lit(0.0)) / F.col("q")).alias("loss")) for f in n])))
+
+
+def sliced_macro(scored: DataFrame, slices: DataFrame, by: str, query: str = "qid", score: str = "score") -> DataFrame:
+    """Macro score and queries of each slice (transfer between countries, missing or corrupted fields); queries without a slice are left out."""
+    return scored.join(slices.select(query, by), query).groupBy(by).agg(F.avg(score).alias("macro"), F.count("*").alias("n_queries"))
+
+
 def hard_negatives(candidates: DataFrame, truth_pairs: DataFrame, held_out: DataFrame, k: int = 20, query: str = "qid", key: str = "id") -> DataFrame:
     """The k best candidates of each query that are no matches, without held-out queries."""
     free = candidates.join(truth_pairs, [query, key], "left_anti").join(held_out, query, "left_anti")
@@ -132,12 +160,13 @@ def threshold_sweep(scored_pairs: DataFrame, truth: DataFrame, thresholds: list[
 
 def paired_bootstrap(scores: DataFrame, unit: str, delta: str, replicates: int = 200, seed: int = 42) -> DataFrame:
     """Replicate means of a score difference under Poisson(1) weights drawn from hashes; the table isn't copied to the driver."""
-    u = F.pmod(F.xxhash64(F.col(unit), F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.col("u")
     cuts, total, term = [], 0.0, 0.36787944117144233
     for k in range(8):
         total += term
         cuts.append(F.when(u >= total, 1).otherwise(0))
         term /= k + 1
     weight = reduce(lambda x, y: x + y, cuts)
-    rows = scores.select(unit, delta, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("w", weight)
+    rows = scores.select(unit, delta, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    rows = rows.withColumn("u", unit_interval(seed, F.concat(F.col(unit).cast("string"), F.lit(":"), F.col("replicate").cast("string")))).withColumn("w", weight)
     return rows.groupBy("replicate").agg((F.sum(F.col("w") * F.col(delta)) / F.nullif(F.sum("w"), F.lit(0))).alias("mean_delta"))

@@ -74,6 +74,7 @@ def greedy_coverage(labelled: DataFrame, size: int, seed: int = 42, key: str = "
         for _, label in sorted(counts):
             while len(chosen) < size and have.get(label, 0) < quota and take(F.array_contains("l", label)):
                 pass
-    while len(chosen) < size and take(F.lit(True)):
-        pass
+    if len(chosen) < size:  # the rest by hash, at once
+        free = rows.where(~F.col("k").isin(*chosen)) if chosen else rows
+        chosen += [r["k"] for r in free.orderBy("h", "k").limit(size - len(chosen)).collect()]
     return chosen

@@ -50,9 +50,25 @@ def split_counts(assigned: DataFrame) -> DataFrame:
 
 
 def fingerprint(assigned: DataFrame, key: str) -> DataFrame:
-    """SHA-256 of the sorted `key<TAB>split` lines, whatever the order of rows. One row: for lists that fit one value."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "split"))), lambda x: F.concat(x["k"], F.lit("\t"), x["split"]))
-    return assigned.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
+    """A SHA-256 of all `key<TAB>split` lines, whatever the order of rows and their number.
+
+    Lines are dealt into 65,536 ranges by the first four hex digits of their key's own SHA-256, each range's sorted
+    lines are hashed in a task of their own, and the digests of the ranges in order are hashed together.
+    """
+    lines = assigned.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 4).alias("part"), F.concat(F.col(key).cast("string"), F.lit("\t"), "split").alias("line"))
+    digests = lines.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"])
+    return digests.agg(F.sha2(F.array_join(joined, "\n"), 256).alias("fingerprint"))
+
+
+def save_manifest(assigned: DataFrame, key: str, config: SplitConfig, folder: str) -> dict:
+    """The assignment as a published table and its header as `manifest.json` beside it; returns the header."""
+    from kinloom.sources.sinks import publish_parquet, write_json
+
+    publish_parquet(assigned.select(key, "split"), f"{folder}/assignment")
+    header = manifest(assigned, key, config)
+    write_json(assigned.sparkSession, f"{folder}/manifest.json", header)
+    return header
 
 
 def manifest(assigned: DataFrame, key: str, config: SplitConfig) -> dict:

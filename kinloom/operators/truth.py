@@ -55,6 +55,16 @@ def multi_owner_targets(match_edges: DataFrame, target: str = "target_id") -> Da
     return owners(match_edges, target).where("n_owners > 1")
 
 
+#: Parts into which the rows of one key are dealt where a key may have a large share of them.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """many JOIN one on `key`, where `one` has a row for each key: a key's rows are dealt by a hash of `by`, and `one` is repeated for each part."""
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return left.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], how).drop("_salt")
+
+
 def families(nodes: DataFrame, match_edges: DataFrame, node: str = "s1_id", target: str = "target_id") -> DataFrame:
     """(node, family_id): nodes that share targets, directly or through others; the family is named by its smallest node.
 
@@ -64,23 +74,29 @@ def families(nodes: DataFrame, match_edges: DataFrame, node: str = "s1_id", targ
     """
     every = nodes.select(F.col(node).alias("node")).distinct()
     lowest = match_edges.groupBy(target).agg(F.min(node).alias("low"))
-    ties = match_edges.join(lowest, target).where(F.col(node) != F.col("low")).select(F.col(node).alias("u"), F.col("low").alias("v")).distinct()
+    ties = salted_join(match_edges, lowest, target, node).where(F.col(node) != F.col("low")).select(F.col(node).alias("u"), F.col("low").alias("v")).distinct()
     ties = checkpointed(ties)
     if ties.isEmpty():
         return every.select("node", F.col("node").alias("family_id"))
     both = checkpointed(ties.unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        near = salted_join(both, labels.select(F.col("node").alias("v"), "label"), "v", "u").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        lower = checkpointed(lower.join(jump, "label").select("node", "was", F.least("label", "further").alias("label")))
+        lower = checkpointed(salted_join(lower, jump, "label", "node").select("node", "was", F.least("label", "further").alias("label")))
         labels = lower.select("node", "label")
         if lower.where("was <> label").isEmpty():
             break
     return every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("family_id"))
 
 
+def family_countries(family: DataFrame, records: DataFrame, node: str = "entity_id", country: str = "country", order: str = "row_id") -> DataFrame:
+    """(family_id, country, n_nodes): a family has the country of its first member in row order; members without a record or a country have an empty one."""
+    rows = family.join(records.groupBy(F.col(node).alias("node")).agg(F.min_by(F.struct(F.col(country).alias("c"), F.col(order).alias("o")), order).alias("at")), "node", "left")
+    return rows.groupBy("family_id").agg(F.min_by(F.coalesce("at.c", F.lit("")), F.struct(F.col("at.o").isNull(), F.col("at.o"), F.col("node"))).alias("country"), F.count("*").alias("n_nodes"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Lineage cut in the shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
     sc = df.sparkSession.sparkContext

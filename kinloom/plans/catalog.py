@@ -38,10 +38,14 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict:
+    from kinloom.plans import more  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from kinloom.plans import more  # noqa: F401
+
     return dict(ORACLES)
 
 
@@ -189,7 +193,8 @@ def split_counts(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_counts(_assigned(spark, d))
 
 
-@query(f"WITH {_SPLIT} SELECT sha256(string_agg(k || chr(9) || split, chr(10) ORDER BY k)) AS fingerprint FROM s")
+@query(f"""WITH {_SPLIT}, p AS (SELECT substr(sha256(k), 1, 4) AS part, sha256(string_agg(k || chr(9) || split, chr(10) ORDER BY k || chr(9) || split)) AS digest FROM s GROUP BY 1)
+  SELECT sha256(string_agg(digest, chr(10) ORDER BY part)) AS fingerprint FROM p""")
 def split_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return splits.fingerprint(_assigned(spark, d), "k")
 
@@ -256,11 +261,18 @@ def error_budget(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.error_budget(pick(_TRUTH), pick(_CAND), pick(_PRED))
 
 
-@query()
+@query(f"""WITH {_COUNTS}, s AS (SELECT q, best - score AS delta FROM (SELECT q, score,
+    CASE WHEN nt = 0 AND nc = 0 THEN 1.0 WHEN nt = 0 OR nc = 0 THEN 0.0 ELSE 1.25 * tc / (1.25 * tc + 0.25 * (nt - tc) + (nc - tc)) END AS best
+    FROM f JOIN (SELECT q, count(*) FILTER (c) AS nc FROM pairs GROUP BY 1) USING (q))),
+  u AS (SELECT replicate, delta, CAST(CAST('0x' || substr(sha256('42:' || q || ':' || replicate), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM s, (SELECT unnest(range(0, 50)) AS replicate)),
+  w AS (SELECT replicate, delta, CAST(u >= 0.36787944117144233 AS INTEGER) + CAST(u >= 0.7357588823428847 AS INTEGER) + CAST(u >= 0.9196986029286058 AS INTEGER) + CAST(u >= 0.9810118431238462 AS INTEGER)
+    + CAST(u >= 0.9963401531726563 AS INTEGER) + CAST(u >= 0.9994058151824183 AS INTEGER) + CAST(u >= 0.9999167588507119 AS INTEGER) + CAST(u >= 0.9999897508033253 AS INTEGER) AS w FROM u)
+  SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(w * delta) / sum(w), 6) AS mean_delta FROM w GROUP BY 1""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     a = metrics.score_queries(_sets(spark, d, _TRUTH), _sets(spark, d, _PRED), strict=False).select("qid", F.col("score").alias("a"))
     b = metrics.score_queries(_sets(spark, d, _TRUTH), _sets(spark, d, _CAND), strict=False).select("qid", F.col("score").alias("b"))
-    return retrieve.paired_bootstrap(a.join(b, "qid").withColumn("delta", F.col("b") - F.col("a")), "qid", "delta", 50)
+    means = retrieve.paired_bootstrap(a.join(b, "qid").withColumn("delta", F.col("b") - F.col("a")), "qid", "delta", 50)
+    return means.select("replicate", F.round("mean_delta", 6).alias("mean_delta"))
 
 
 # Validation, samples, references
@@ -301,9 +313,9 @@ def linked_sample(spark: SparkSession, d: str) -> DataFrame:
     return picked.join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_orders"))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)")
 def missing_refs(spark: SparkSession, d: str) -> DataFrame:
-    return sample.missing_references(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey")
+    return sample.missing_references(table(spark, d, "lineitem"), table(spark, d, "part").where("p_size > 25"), "l_partkey", "p_partkey")
 
 
 # Variation labels
@@ -368,28 +380,28 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 # Retrieval: benchmark items ask, documents answer
 
-#: Tokens in more documents than this select nothing where the SQL has the same limit; candidates of a route and of the budget.
-MAX_DF, ROUTE_K, BUDGET_K = 200, 30, 10
+#: Candidates of a route and of the budget.
+ROUTE_K, BUDGET_K = 30, 10
 _WORDS = r"[\p{L}\p{N}]+"
 
 
-def _routes(spark: SparkSession, d: str, whole: bool = False) -> list[DataFrame]:
-    """As the SQL has them, or whole: every token counts, and documents are counted."""
+def _routes(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Two routes in which every token counts, over the counted number of documents."""
     ask = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), X.words(F.lower("text")).alias("w"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.words(F.lower("text")).alias("w"))
-    n_docs, max_df = (docs.count(), None) if whole else (1_000_000, MAX_DF)
+    n_docs = docs.count()
     out = []
     for name, least in (("words", 1), ("long_words", 9)):
         keep = lambda w, least=least: F.filter(w, lambda t: F.length(t) >= least)
         index = retrieve.postings(docs, "id", keep(F.col("w")))
-        out.append(retrieve.route(retrieve.postings(ask, "qid", keep(F.col("w"))), index, n_docs, name, ROUTE_K, max_df))
+        out.append(retrieve.route(retrieve.postings(ask, "qid", keep(F.col("w"))), index, n_docs, name, ROUTE_K, None))
     return out
 
 
 def _route_sql(name: str, least: int) -> str:
     return rf"""q_{name} AS (SELECT DISTINCT item_id AS qid, token FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS token FROM benchmark) WHERE length(token) >= {least}),
   i_{name} AS (SELECT DISTINCT doc_id AS id, token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS token FROM documents) WHERE length(token) >= {least}),
-  d_{name} AS (SELECT token, ln(1000001.0 / (count(*) + 1)) AS idf FROM i_{name} GROUP BY 1 HAVING count(*) <= {MAX_DF}),
+  d_{name} AS (SELECT token, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1)) AS idf FROM i_{name} GROUP BY 1),
   s_{name} AS (SELECT qid, id, round(sum(idf), 9) AS s FROM q_{name} JOIN d_{name} USING (token) JOIN i_{name} USING (token) GROUP BY ALL),
   r_{name} AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS r FROM s_{name} QUALIFY r <= {ROUTE_K})"""
 
@@ -418,11 +430,12 @@ def candidate_stats(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.retrieval_report(counts)
 
 
-@query()
+@query(f"{_RRF} SELECT qid, id, CAST(k AS INTEGER) AS final_candidate_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY k, id) AS j FROM b WHERE id % 40 <> qid AND qid % 5 <> 0) WHERE j <= 5")
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieve.budget(retrieve.fuse(_routes(spark, d, whole=True)), BUDGET_K).select("qid", "id", "final_candidate_rank")
-    best = found.where("final_candidate_rank = 1").select("qid", "id")
-    return retrieve.hard_negatives(found, best, found.where("false").select("qid"), 5)
+    found = retrieve.budget(retrieve.fuse(_routes(spark, d)), BUDGET_K).select("qid", "id", "final_candidate_rank")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
+    pairs = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("qid"), F.col("doc_id").alias("id"))
+    return retrieve.hard_negatives(found, pairs, asked.where("qid % 5 = 0"), 5)
 
 
 @query("""WITH x AS (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY ALL),
@@ -439,12 +452,15 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 # Streams
 
 
-@query()
-def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared one."""
     truth.checkpointed(spark.range(0))
-    top = spark.sparkContext.getCheckpointDir()
-    rows = incremental.first_seen(incremental.parquet_stream(spark, f"{d}/events.parquet").select("user_id", "event_type"), "user_id")
-    return incremental.run_available(rows, f"seen_{uuid.uuid4().hex}", f"{top}/stream-{uuid.uuid4().hex}")
+    return f"{spark.sparkContext.getCheckpointDir()}/kinloom-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.run_available(incremental.first_seen(incremental.parquet_stream(spark, f"{d}/events.parquet").select("user_id"), "user_id"), scratch(spark))
 
 
 @query("SELECT doc_id, strlen(text) = length(text) AS ascii FROM documents")

@@ -18,17 +18,44 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Writes beside the target and renames when all is there; a failed write leaves the old table and no rest."""
-    spark, beside = df.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
+    """Writes beside the target and renames when all is there.
+
+    The old table is moved aside first and comes back if the new one can't take its place; a failed write leaves
+    the old table and no rest.
+    """
+    spark, name = df.sparkSession, uuid.uuid4().hex
     fs, to = _fs(spark, path)
-    _, from_ = _fs(spark, beside)
+    (_, new), (_, old) = _fs(spark, f"{path}.{name}.tmp"), _fs(spark, f"{path}.{name}.old")
     try:
         writer = df.write
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(beside)
-        fs.delete(to, True)
-        fs.rename(from_, to)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(new.toString())
+        aside = fs.exists(to)
+        if aside and not fs.rename(to, old):
+            raise OSError(f"{path} can't be moved aside")
+        if not fs.rename(new, to):
+            if aside:
+                fs.rename(old, to)
+            raise OSError(f"{path} can't be published")
     finally:
-        fs.delete(from_, True)
+        fs.delete(new, True)
+        if fs.exists(to):
+            fs.delete(old, True)
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """One small JSON file with sorted keys, in any store Spark can write."""
+    fs, at = _fs(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(json.dumps(value, sort_keys=True, indent=1, default=str).encode()))
+    finally:
+        out.close()
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes, sha256) of the files at a path; each is read as one value, so for files that fit one task."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def ingest_to_parquet(spark: SparkSession, path: str, label: str, out: str) -> dict:

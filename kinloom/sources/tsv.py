@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +45,28 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rows(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
-    """All columns; a row with too few or too many fields fails the job."""
+    """All columns; a row with too few or too many fields fails the job, `malformed_rows` tells which."""
     head = _named(_scan(spark, path, "PERMISSIVE"), required, path)
     return _scan(spark, path, "FAILFAST", T.StructType([T.StructField(c, T.StringType()) for c in head.columns])).na.fill("")
 
 
+def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(line_number, n_fields, expected) of the lines with another number of fields than the header; the header is line 1.
+
+    For files without quoted line breaks: a line is a row.
+    """
+    lines = numbered_lines(spark, path).select("line_number", F.size(F.split("value", "\t")).alias("n_fields"))
+    head = F.broadcast(lines.where("line_number = 1").select(F.col("n_fields").alias("expected")))  # one row
+    return lines.where("line_number > 1").join(head, F.col("n_fields") != F.col("expected")).select("line_number", "n_fields", "expected")
+
+
+def checked_rows(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
+    """Like read_rows; the first malformed row is named by its line."""
+    if bad := malformed_rows(spark, path).orderBy("line_number").head(1):
+        raise ValueError(f"{path}, line {bad[0]['line_number']}: {bad[0]['n_fields']} fields, the header has {bad[0]['expected']}")
+    return read_rows(spark, path, required)
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Distinct first fields of the lines after the header, stripped; blank lines are skipped."""
     lines = numbered_lines(spark, path).where("line_number > 1")
@@ -56,8 +75,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_match_targets(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame | None:
-    """Ids of all target files, or None if one of them is not there."""
-    if not all(exists(spark, p) for p in paths):
+    """Ids of all target files, or None and a warning if one of them is not there."""
+    if gone := [p for p in paths if not exists(spark, p)]:
+        warnings.warn(f"no target check, files are missing: {gone}", stacklevel=2)
         return None
     out = read_ids(spark, paths[0])
     for p in paths[1:]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinloom.operators.truth import split_ids
 from kinloom.sources.tsv import TRUTH_COLUMNS, target_source
@@ -40,9 +41,17 @@ def windowed_counts(rows: DataFrame, time: str, key: str, width: str = "1 day",
     return rows.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))
 
 
-def run_available(rows: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns the result table."""
+def run_available(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there and returns its result table, which is written to the folder batch by batch.
+
+    A batch that is repeated after a failure overwrites its own part. In mode `complete` the last batch is the result.
+    """
     spark = rows.sparkSession
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number:09d}")
+
+    query = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    found = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/rows")
+    return (found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]) if mode == "complete" else found).drop("batch")
