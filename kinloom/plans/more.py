@@ -168,9 +168,11 @@ def unaccented(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(U.unaccent(F.col("text"))).alias("plain"))
 
 
-@query("SELECT page_id, split_part(split_part(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '^www\\.', ''), '/', 1), '.', 1) AS stem FROM pages WHERE regexp_matches(lower(url), '^https?://(www\\.)?[a-z0-9-]+\\.(com|in|net|org)\\b')")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE replace(p_name, ' ', '-') END AS stem FROM part")
 def domain_stems(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", X.domain_stem(F.col("url")).alias("stem")).where("stem IS NOT NULL")
+    stem = F.replace("p_name", F.lit(" "), F.lit("-"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("https://www."), stem, F.lit(".com/x"))).otherwise(F.concat(F.upper(stem), F.lit(".IN")))
+    return table(spark, d, "part").select("p_partkey", X.domain_stem(name).alias("stem"))
 
 
 # Labels that need no likeness, in SQL
