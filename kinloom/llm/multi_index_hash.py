@@ -100,6 +100,16 @@ class SubstringIndexes:
         ok = bits <= m * (a + 1) - 1
         return q[ok], r[ok], bits[ok]
 
+    def distances(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, rows) bits of the closest substring, at which probing finds a row, and of the whole code. The bits of each value that occurs in an index are counted once for all its rows."""
+        least = np.full((len(queries), len(self.codes)), PART, dtype=np.uint8)
+        whole = np.zeros_like(least)
+        for s in range(queries.shape[1]):
+            bits = np.bitwise_count(queries[:, s][:, None] ^ self.values[s][None, :])[:, self.of_row[s]]
+            np.minimum(least, bits, out=least)
+            whole += bits
+        return least, whole
+
 
 def needed_radius(similarity: np.ndarray, reach: float) -> np.ndarray:
     """Bits up to which codes have to be looked at, if the k-th found has this cosine."""
@@ -107,16 +117,8 @@ def needed_radius(similarity: np.ndarray, reach: float) -> np.ndarray:
     return BITS * p + reach * np.sqrt(BITS * p * (1 - p))
 
 
-#: Queries that probe at once, and pairs whose inner products are worked out at once.
-QUERIES_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 17
-
-
-def products(q: np.ndarray, a: np.ndarray, x: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows a of q with rows b of x; of a pair always the same sum, whatever else is asked."""
-    out = np.empty(len(a))
-    for k in range(0, len(a), PAIRS_AT_ONCE):
-        out[k : k + PAIRS_AT_ONCE] = (q[a[k : k + PAIRS_AT_ONCE]] * x[b[k : k + PAIRS_AT_ONCE]]).sum(axis=1)
-    return out
+#: Queries that probe at once.
+QUERIES_AT_ONCE = 128
 
 
 def search_block(coder: Coder, reach: float, k: int, qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -132,39 +134,36 @@ def search_block(coder: Coder, reach: float, k: int, qid: np.ndarray, q: np.ndar
     # rows by bands of an eighth of an octave of their norms; each band has the radius of its largest norm
     step, band = np.unique(np.ceil(8 * np.log2(size / size.max()) - 1e-9), return_inverse=True)
     largest = size.max() * 2.0 ** (step / 8)
-    length = norms(q)
     m = codes.shape[1]
     out, scored = [], 0
     for begin in range(0, len(q), QUERIES_AT_ONCE):
-        part = np.arange(begin, min(begin + QUERIES_AT_ONCE, len(q)))
-        radius = np.full((len(part), len(step)), float(BITS))  # that each query still needs, by band
-        row, col, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        before = -1
-        for a in range(PART + 1):
-            open_ = np.flatnonzero(radius.max(axis=1) > before)
-            if not len(open_):
-                break
-            at, b, bits = index.probe(codes[part[open_]], a)
-            at = open_[at]
-            new = (bits > before) & (bits <= radius[at, band[b]])
-            at, b = at[new], b[new]
-            scored += len(at)
-            row, col, score = np.concatenate([row, at]), np.concatenate([col, b]), np.concatenate([score, products(q, part[at], x, b)])
-            order = np.lexsort((-score, row))
-            row, col, score = row[order], col[order], score[order]
-            first = np.searchsorted(row, np.arange(len(part)))
-            full = np.diff(np.append(first, len(row))) >= k
-            kth = np.full(len(part), -np.inf)
-            kth[full] = score[first[full] + k - 1]
-            keep = score >= kth[row]
-            row, col, score = row[keep], col[keep], score[keep]
-            ratio = kth[full][:, None] / (length[part[full]][:, None] * largest[None, :])
-            radius[full] = np.where(ratio > 1 + 1e-9, -1.0, needed_radius(ratio, reach))
-            before = m * (a + 1) - 1
-        order = np.lexsort((xid[col], -score, row))
-        row, col, score = row[order], col[order], score[order]
-        best = np.arange(len(row)) - np.searchsorted(row, row) < k
-        out.append((qid[part[row[best]]], xid[col[best]], score[best]))
+        least, bits = index.distances(codes[begin : begin + QUERIES_AT_ONCE])
+        for at in range(len(bits)):
+            v = q[begin + at]
+            length = np.sqrt(v @ v)
+            slack = 1e-12 * length * largest.max()
+            found, score = np.zeros(0, dtype=np.int64), np.zeros(0)
+            radius, before = np.full(len(step), float(BITS)), -1
+            for a in range(PART + 1):
+                if radius.max() <= before:
+                    break
+                upto = m * (a + 1) - 1
+                near = np.flatnonzero((bits[at] > before) & (bits[at] <= upto) & (least[at] <= a))
+                near = near[bits[at, near] <= radius[band[near]]]
+                before = upto
+                if not len(near):
+                    continue
+                scored += len(near)
+                found, score = np.concatenate([found, near]), np.concatenate([score, x[near] @ v])
+                if len(score) >= k:
+                    kth = np.partition(score, len(score) - k)[len(score) - k]
+                    keep = score >= kth - slack
+                    found, score = found[keep], score[keep]
+                    ratio = kth / (length * largest)
+                    radius = np.where(ratio > 1 + 1e-9, -1.0, needed_radius(ratio, reach))
+            exact = (v * x[found]).sum(axis=1)  # the same sum for a pair, whatever else was asked
+            best = np.lexsort((xid[found], -exact))[:k]
+            out.append((np.full(len(best), qid[begin + at]), xid[found[best]], exact[best]))
     return *(np.concatenate(c) for c in zip(*out, strict=True)), scored
 
 
