@@ -105,6 +105,17 @@ def small(side: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
 
 
+def draw(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """At most n rows, those with the smallest hashes of `key`, fewer only if the table has fewer.
+
+    Rows are counted first, so that each one tells by itself whether it can be among them: what is sorted, and what
+    any number of tasks hands on, is about 2 n rows.
+    """
+    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+    share = min(1.0, (2 * n + 100) / max(df.count(), 1))
+    return df.where(h < int(share * (1 << 40))).orderBy(h, key).limit(n)
+
+
 def words_of(text: Column) -> Column:
     """The non-empty words of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, rows_of, ship
+from .common import carried, draw, rows_of, ship
 from .string_kernel_toxicity import platt
 from .textcore import Block, blocks
 
@@ -241,8 +241,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
     """
     ship(docs.sparkSession)
     marked = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(usable)
-    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE_ROWS)
-    names = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id").limit(POOL_ROWS)
+    few = draw(marked, "doc_id", SAMPLE_ROWS)
+    names = draw(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id")), "doc_id", POOL_ROWS, seed=1)
     asked = few.unionByName(names.withColumn("y", F.lit(None).cast("int"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = _rows(docs, doc_id, text).where("text IS NOT NULL").join(F.broadcast(asked), "doc_id")
 

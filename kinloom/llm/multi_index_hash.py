@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship, shuffle_partitions
+from .common import cut, draw, ship, shuffle_partitions
 from .components import salted_join
 
 #: Bits of a code and of a substring.
@@ -195,7 +195,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
     index = cut(rows.select("vec_id", "v").withColumn("_k", F.row_number().over(copies)).where(F.col("_k") <= k + 1).drop("_k"))
     asked = cut(rows.where("is_query").select("vec_id", "v").distinct())
     leads = cut(asked.groupBy("v").agg(F.min("vec_id").alias("lead")))
-    some = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
+    some = draw(index, "vec_id", sample).select("v").toPandas()["v"]
     coder = fit(np.stack(some.to_numpy()) if len(some) else np.zeros((0, d)))
 
     p = shuffle_partitions(spark)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import draw, ship
 from .textcore import Block, TypeTable, blocks, mix
 
 #: Bytes that are compared at once, length of the subsequences, decay for each character spanned, widest gap of a pair.
@@ -377,7 +377,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
     Null labels, ids and texts take no part. With labels of one kind only, every text scores the same and low.
     """
     marked = labels.where(F.col(doc_id).isNotNull() & usable).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1)").distinct()
-    few = reduce(DataFrame.unionByName, [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for y in (0, 1)])
+    few = reduce(DataFrame.unionByName, [draw(marked.where(F.col("y") == y), "doc_id", SAMPLE_ROWS) for y in (0, 1)])
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     ship(docs.sparkSession)
 
