@@ -118,35 +118,72 @@ def blocks(column: pa.Array, fold_ascii: bool = False, marks: bytes = b"", width
         row = last
 
 
+class KeyIndex:
+    """Numbers of 64-bit keys in the order in which they were added: a long sorted list, and a short one that new keys are put into and that joins the long one when it is full."""
+
+    SHORT = 1 << 16
+
+    def __init__(self):
+        self.count = 0
+        self.lists = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)) for _ in range(2)]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 for those not there."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        for known, number in self.lists:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = number[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers for sorted keys that are not there yet."""
+        numbers = np.arange(self.count, self.count + len(keys))
+        self.count += len(keys)
+        long, (known, number) = self.lists
+        at = np.searchsorted(known, keys)
+        short = np.insert(known, at, keys), np.insert(number, at, numbers)
+        if len(short[0]) > self.SHORT:
+            both = np.concatenate([long[0], short[0]])
+            order = np.argsort(both, kind="stable")
+            long, short = (both[order], np.concatenate([long[1], short[1]])[order]), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        self.lists = [long, short]
+        return numbers
+
+
+def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, or a longer one with its first `used` entries, with room for `more`."""
+    if used + more <= len(array):
+        return array
+    out = np.zeros((max(used + more, len(array) * 3 // 2), *array.shape[1:]), dtype=array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
 class TypeTable:
-    """Values of word types by hash, kept over the batches of a worker in sorted arrays; at `limit` types it starts anew."""
+    """Values of word types by hash, kept over the batches of a worker; at `limit` types it starts anew."""
 
     def __init__(self, width: int, limit: int = 1_500_000, dtype=np.float32):
         self.limit, self.width, self.dtype = limit, width, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.values = np.zeros((0, self.width), dtype=self.dtype)
+        self.index, self.values = KeyIndex(), np.zeros((1 << 12, self.width), dtype=self.dtype)
 
     def of(self, hashes: np.ndarray, make) -> np.ndarray:
         """Values of the hashes; make(places) gives those of the types not seen yet, by a place of each."""
         types, place, back = np.unique(hashes, return_index=True, return_inverse=True)
+        number = self.index.find(types)
+        known = number >= 0
         out = np.empty((len(types), self.width), dtype=self.dtype)
-        at = np.searchsorted(self.keys, types)
-        known = np.zeros(len(types), dtype=bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == types
-            out[known] = self.values[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            out[new] = made = make(place[new])
-            if len(self.keys) + len(new) > self.limit:
+        out[known] = self.values[number[known]]
+        if not known.all():
+            out[~known] = made = make(place[~known])
+            if self.index.count + len(made) > self.limit:
                 self.clear()
-                at = np.zeros(len(types), dtype=np.int64)
-            if len(new) <= self.limit:
-                self.keys = np.insert(self.keys, at[new], types[new])
-                self.values = np.insert(self.values, at[new], made, axis=0)
+            self.values = _room(self.values, self.index.count, len(made))
+            self.values[self.index.add(types[~known])] = made
         return out[back]
 
 
@@ -168,9 +205,9 @@ class RaggedTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.place = [np.zeros(0, dtype=np.int64) for _ in self.dtypes]
-        self.length = [np.zeros(0, dtype=np.int32) for _ in self.dtypes]
+        self.index = KeyIndex()
+        self.place = [np.zeros(1 << 12, dtype=np.int64) for _ in self.dtypes]
+        self.length = [np.zeros(1 << 12, dtype=np.int32) for _ in self.dtypes]
         self.pool = [np.zeros(1 << 16, dtype=d) for d in self.dtypes]
         self.used = [0] * len(self.dtypes)
 
@@ -178,10 +215,7 @@ class RaggedTable:
         length = np.array([-1 if m is None else len(m) for m in made], dtype=np.int32)
         flat = np.concatenate([np.frombuffer(m, dtype=self.dtypes[field]) if isinstance(m, bytes) else np.asarray(m, dtype=self.dtypes[field]) for m in made if m is not None] or [np.zeros(0, dtype=self.dtypes[field])])
         used, size = self.used[field], np.maximum(length, 0).astype(np.int64)
-        if used + len(flat) > len(self.pool[field]):
-            grown = np.zeros(max(used + len(flat), len(self.pool[field]) * 3 // 2), dtype=self.dtypes[field])
-            grown[:used] = self.pool[field][:used]
-            self.pool[field] = grown
+        self.pool[field] = _room(self.pool[field], used, len(flat))
         self.pool[field][used : used + len(flat)] = flat
         self.used[field] = used + len(flat)
         return used + np.cumsum(size) - size, length
@@ -189,20 +223,17 @@ class RaggedTable:
     def of(self, hashes: np.ndarray, make) -> list[tuple[np.ndarray, np.ndarray]]:
         """(place, length) in the pool of each field for every hash; make(places) gives the fields' lists for new types, by a place of each."""
         types, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(types) > self.limit and len(self.keys) > len(types):
-            known = np.isin(types, self.keys, assume_unique=True)
-            if len(self.keys) + len(types) - int(known.sum()) > self.limit:
-                self.clear()
-        at = np.searchsorted(self.keys, types)
-        known = np.zeros(len(types), dtype=bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == types
-        new = np.flatnonzero(~known)
+        number = self.index.find(types)
+        if self.index.count + int((number < 0).sum()) > self.limit:
+            self.clear()
+            number[:] = -1
+        new = np.flatnonzero(number < 0)
         if len(new):
-            for field, made in enumerate(make(where[new])):
-                place, length = self._append(field, made)
-                self.place[field] = np.insert(self.place[field], at[new], place)
-                self.length[field] = np.insert(self.length[field], at[new], length)
-            self.keys = np.insert(self.keys, at[new], types[new])
-            at = np.searchsorted(self.keys, types)
-        return [(p[at][back], n[at][back]) for p, n in zip(self.place, self.length, strict=True)]
+            made = make(where[new])
+            count = self.index.count
+            number[new] = numbers = self.index.add(types[new])
+            for field, lists in enumerate(made):
+                place, length = self._append(field, lists)
+                self.place[field], self.length[field] = _room(self.place[field], count, len(new)), _room(self.length[field], count, len(new))
+                self.place[field][numbers], self.length[field][numbers] = place, length
+        return [(p[number][back], n[number][back]) for p, n in zip(self.place, self.length, strict=True)]
