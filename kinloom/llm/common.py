@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,44 @@ def ship(spark: SparkSession) -> None:
     sc._kinloom_sent = True
 
 
+def give_back() -> None:
+    """Hands memory that the allocators of this process hold free back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: The tokenizer of a Python worker, by its class and file: one at a time.
+_MODEL: dict[tuple[type, str], object] = {}
+
+
+def model(kind: type, path: str):
+    """kind(path), kept by this worker over its tasks until a task asks for another or needs none."""
+    if (kind, path) not in _MODEL:
+        _MODEL.clear()
+        _MODEL[kind, path] = kind(path)
+    return _MODEL[kind, path]
+
+
+def drop_model() -> None:
+    _MODEL.clear()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own_model: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, leaving its worker small: one stage after another uses the same workers, so a tokenizer goes unless `run` has one itself, and freed memory goes back when a task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not own_model:
+            drop_model()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, with their lineage cut.
 

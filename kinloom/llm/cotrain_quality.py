@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, draw, rows_of, ship
+from .common import carried, draw, rows_of, ship, tidy
 from .string_kernel_toxicity import platt
 from .textcore import Block, blocks
 
@@ -253,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "source", "lang", "n_chars", "y")] + [pa.array(list(f), pa.list_(pa.float32())) for f in (text_view(block).astype(np.float32), layout_features(block).astype(np.float32))], ["doc_id", "source", "lang", "n_chars", "y", "f", "layout"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, {_META}, y int, f array<float>, layout array<float>").toArrow()  # features of the sample's rows
+    got = rows.mapInArrow(tidy(run), f"doc_id {kind}, {_META}, y int, f array<float>, layout array<float>").toArrow()  # features of the sample's rows
     if not len(got):
         return Views()
     got = got.sort_by([("doc_id", "ascending"), ("n_chars", "ascending")])
@@ -290,4 +290,4 @@ def score(docs: DataFrame, views: Views, threshold: float = 0.5, doc_id: str = "
                 both = np.where(block.counts > 0, both, 0.0)
                 yield pa.RecordBatch.from_arrays([*rows_of(batch, kept, low, high), *[pa.array(v) for v in (both, a, b, both >= threshold)]], [*kept, *made])
 
-    return rows.mapInArrow(run, f"{schema}, score double, text_score double, meta_score double, kept boolean")
+    return rows.mapInArrow(tidy(run), f"{schema}, score double, text_score double, meta_score double, kept boolean")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, rows_of, ship
+from .common import carried, rows_of, ship, tidy
 from .textcore import Block, TypeTable, blocks, mix
 
 #: Hash slots of emission weights; bytes of a piece, longer words are several; words of a segment.
@@ -331,7 +331,7 @@ def identify(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str =
                 shares = pa.array([list(zip(own.labels, s, strict=True)) if ok else [] for s, ok in zip(share.tolist(), ascii_letter.tolist(), strict=True)], pa.map_(pa.string(), pa.float64()))
                 yield pa.RecordBatch.from_arrays([*rows_of(batch, kept, low, high), pa.array(named, pa.string()), pa.array(np.clip(best, 0.0, 1.0)), shares], names)
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, shares map<string,double>")
+    return rows.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, shares map<string,double>")
 
 
 def label_words(text: str, chain: Chain) -> list[tuple[str, str, float]]:

@@ -13,14 +13,13 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, model, ship, tidy
 from .hash_tree import slots
 from .textcore import Block, RaggedTable, blocks, gather, mix
 
@@ -106,9 +105,9 @@ class ChunkTokenizer:
                 yield ids[ends[k] : ends[k + 1]]
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
+    """The worker's own, kept over its tasks."""
+    return model(ChunkTokenizer, path)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,7 +135,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
             out = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECE_SCHEMA}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(tidy(run, own_model=True), f"doc_id {kind}, {PIECE_SCHEMA}")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

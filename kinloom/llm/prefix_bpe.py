@@ -12,7 +12,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import ship
+from .common import model, ship, tidy
 from .textcore import Block, RaggedTable, blocks, gather
 
 #: Chunks between white space (in array pools), and pieces, whose encodings a worker keeps.
@@ -296,9 +295,9 @@ class TextCodec:
         return " ".join(self.names[i] for i in ids)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> TextCodec:
-    return TextCodec(path)
+    """The worker's own, kept over its tasks."""
+    return model(TextCodec, path)
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -328,4 +327,4 @@ def encode_texts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
                 columns += [pa.array(ids_out, pa.list_(pa.int64())), pa.array(text_out, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[n for n, _ in fields]])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(tidy(run, own_model=True), schema)

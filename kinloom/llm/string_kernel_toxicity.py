@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import draw, ship
+from .common import draw, ship, tidy
 from .textcore import Block, TypeTable, blocks, mix
 
 #: Bytes that are compared at once, length of the subsequences, decay for each character spanned, widest gap of a pair.
@@ -387,7 +387,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), pa.array(word_lists(block), pa.list_(pa.binary()))], ["y", "words"])
 
     # 2 * SAMPLE_ROWS rows of the sample, each word of a text once
-    got = rows.join(F.broadcast(few), "doc_id").select("text", "y").mapInArrow(run, "y int, words array<binary>").toArrow()
+    got = rows.join(F.broadcast(few), "doc_id").select("text", "y").mapInArrow(tidy(run), "y int, words array<binary>").toArrow()
     return train_words(sorted(zip(got["words"].to_pylist(), got["y"].to_pylist(), strict=True)))
 
 
@@ -408,4 +408,4 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
                 p = own.probability(worst_words(block, own, table))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, score double, predicted int")
