@@ -39,6 +39,16 @@ def words_with_marks(folded: Column) -> Column:
     return F.regexp_extract_all(joined, F.lit(r"([\p{L}\p{N}\p{M}]+)"), F.lit(1))
 
 
+def lower(c: Column) -> Column:
+    """Lower case letter by letter: a sigma at the end of a word is as any other, and a dotted capital I has no mark."""
+    return F.lower(F.translate(c, "\u03a3\u0130", "\u03c3i"))
+
+
+def marked_runs(text: Column) -> Column:
+    """Runs of letters, digits and combining marks of a text as it stands; null stays null."""
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}\p{M}]+)"), F.lit(1))
+
+
 def tokenize(c: Column) -> Column:
     """Case-folded tokens in order, repeats kept; null has none."""
     return words(U.casefold_nfkc(c))
@@ -58,6 +68,11 @@ def numeric_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\p{Nd}+)"), F.lit(1))
 
 
+def ascii_numbers(c: Column) -> Column:
+    """Runs of the digits 0 to 9; null stays null."""
+    return F.regexp_extract_all(c, F.lit(r"([0-9]+)"), F.lit(1))
+
+
 def without_leading_zeros(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
 

@@ -43,6 +43,12 @@ def unaccent_text(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(p[0] if "LATIN" in unicodedata.name(p[0], "") else p for p in parts))
 
 
+@lru_cache(maxsize=65536)
+def without_marks_text(text: str) -> str:
+    """All marks dropped, those of any script."""
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not _is_mark(c)))
+
+
 @lru_cache(maxsize=65536)
 def letter_scripts(text: str) -> tuple[str, ...]:
     """First words of the names of the letters in a text, sorted."""
@@ -79,6 +85,11 @@ def _unaccent(s: pd.Series) -> pd.Series:
     return s.map(unaccent_text, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _without_marks(s: pd.Series) -> pd.Series:
+    return s.map(without_marks_text, na_action="ignore")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _scripts(s: pd.Series) -> pd.Series:
     return s.map(lambda x: list(letter_scripts(x)), na_action="ignore")
@@ -119,6 +130,10 @@ def unaccent(c: Column) -> Column:
     return _split(c, c, _unaccent)
 
 
+def without_marks(c: Column) -> Column:
+    return _split(c, c, _without_marks)
+
+
 def scripts(c: Column) -> Column:
     """Sorted script names of the letters of a column."""
     latin = F.when(c.rlike("[A-Za-z]"), F.array(F.lit("LATIN"))).otherwise(F.array().cast("array<string>"))

@@ -325,11 +325,13 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.col("p_name").alias("business_name"), F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand").alias("business_address"), F.col("p_type").alias("country"))
 
 
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
+def _labelled(spark: SparkSession, d: str, reading: variation.Reading = variation.FOLDED) -> DataFrame:
     """Turns of a conversation against the turn before: names are the texts, addresses the roles."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("business_name"), F.concat_ws(", ", "role", F.col("turn").cast("string")).alias("business_address"), F.lit("US").alias("country"))
-    after = variation.prepared(turns, "b", ("conv_id", "turn"))
-    before = variation.prepared(turns.withColumn("turn", F.col("turn") + 1), "a", ("conv_id", "turn"))
+    number = F.col("turn").cast("string")
+    address = F.concat_ws(", ", "role", number) if reading.filled else F.concat("role", F.lit(", "), number)
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("business_name"), address.alias("business_address"), F.lit("US").alias("country"))
+    after = variation.prepared(turns, "b", ("conv_id", "turn"), reading)
+    before = variation.prepared(turns.withColumn("turn", F.col("turn") + 1), "a", ("conv_id", "turn"), reading)
     return variation.label_pairs(before.join(after, ["conv_id", "turn"]))
 
 
