@@ -53,8 +53,13 @@ def route(queries: DataFrame, index: DataFrame, n_docs: int, name: str, k: int,
 
 
 def key_route(queries: DataFrame, targets: DataFrame, on: list[str], name: str, k: int, query: str = "qid", key: str = "id") -> DataFrame:
-    """Candidates that agree on selective keys (aliases, initials, street and number)."""
-    hits = queries.join(targets, on).select(query, key).distinct()
+    """The first k candidates of each query, by key, that agree on selective keys (aliases, initials, street and number).
+
+    They are among the first k targets of each value of `on`, so no more of them are joined: a value that many queries
+    and many targets have makes no product.
+    """
+    first = targets.select(*on, key).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*on).orderBy(key))).where(F.col("_k") <= k).drop("_k")
+    hits = queries.select(query, *on).distinct().join(first, on).select(query, key).distinct()
     ranked = hits.withColumn("route_rank", F.row_number().over(Window.partitionBy(query).orderBy(key)))
     return ranked.where(F.col("route_rank") <= k).select(query, key, F.lit(name).alias("route"), F.lit(1.0).alias("route_score"), "route_rank")
 
