@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,12 @@ SALTS = 16
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """many JOIN one on `key`, where `one` has a row for each key: a key's rows are dealt by a hash of `by`, and `one` is repeated for each part."""
+    """many JOIN one on `key`, where `one` has a row for each key: a key's rows are dealt by a hash of `by`, and `one` is repeated for each part.
+
+    `one` is never broadcast: repeated, it is far larger than the files by which Spark would judge it.
+    """
     left = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return left.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], how).drop("_salt")
+    return left.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def families(nodes: DataFrame, match_edges: DataFrame, node: str = "s1_id", target: str = "target_id") -> DataFrame:
@@ -70,25 +75,31 @@ def families(nodes: DataFrame, match_edges: DataFrame, node: str = "s1_id", targ
 
     Nodes are tied to the smallest node of each of their targets, a star and no clique. Without a shared target
     no round is run. Each round takes smaller labels over the star edges and then the label's own label; rounds
-    are written to the checkpoint folder.
+    are written as tables to the checkpoint folder. A checkpoint would keep the size that Spark guesses for its plan: that of a
+    join is the product of its sides, its digits would multiply from round to round and fill the driver.
     """
     every = nodes.select(F.col(node).alias("node")).distinct()
     lowest = match_edges.groupBy(target).agg(F.min(node).alias("low"))
     ties = salted_join(match_edges, lowest, target, node).where(F.col(node) != F.col("low")).select(F.col(node).alias("u"), F.col("low").alias("v")).distinct()
-    ties = checkpointed(ties)
+    top = f"{shared_folder(nodes)}/families-{uuid.uuid4().hex}"
+    ties = stored(ties, f"{top}/ties")
     if ties.isEmpty():
         return every.select("node", F.col("node").alias("family_id"))
-    both = checkpointed(ties.unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
+    both = stored(ties.unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{top}/both")
+    labels, turn = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), f"{top}/labels"), 0
     while True:
         near = salted_join(both, labels.select(F.col("node").alias("v"), "label"), "v", "u").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        lower = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        lower = checkpointed(salted_join(lower, jump, "label", "node").select("node", "was", F.least("label", "further").alias("label")))
-        labels = lower.select("node", "label")
+        lower = stored(salted_join(lower, jump, "label", "node").select("node", "was", F.least("label", "further").alias("label")), f"{top}/{turn}")
+        labels, turn = lower.select("node", "label"), turn + 1
         if lower.where("was <> label").isEmpty():
             break
-    return every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("family_id"))
+        if turn > 1:
+            removed(nodes, f"{top}/{turn - 2}")
+    for name in ("ties", "both", "labels"):
+        removed(nodes, f"{top}/{name}")
+    return every.join(labels.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("family_id"))
 
 
 def family_countries(family: DataFrame, records: DataFrame, node: str = "entity_id", country: str = "country", order: str = "row_id") -> DataFrame:
@@ -97,11 +108,28 @@ def family_countries(family: DataFrame, records: DataFrame, node: str = "entity_
     return rows.groupBy("family_id").agg(F.min_by(F.coalesce("at.c", F.lit("")), F.struct(F.col("at.o").isNull(), F.col("at.o"), F.col("node"))).alias("country"), F.count("*").alias("n_nodes"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
+def shared_folder(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Lineage cut in the shared folder."""
+    shared_folder(df)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, at: str) -> DataFrame:
+    """The rows written to a table and read again: lineage is cut, and the size is that of the files."""
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def removed(df: DataFrame, at: str) -> None:
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,7 @@
 """Linkage rules on small hand-made tables; expected values are worked out by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,17 @@ def test_hard_negatives_count_common_words(spark, tmp_path):
         score = {k: sum(math.log(601 / (df[w] + 1)) for w in set(words.split()) & set(t.split())) for k, t in texts.items() if set(words.split()) & set(t.split())}
         best = sorted(score, key=lambda k: (-round(score[k], 9), k))[:6]
         assert [x[1] for x in sorted(got[q])] == best[1:]
+
+
+def test_families_of_long_chains(spark):
+    """Many rounds leave no guessed size behind whose digits grow with each."""
+    from kinloom.operators import truth
+
+    names = [f"S1-{k:04d}" for k in range(600)]
+    order = random.Random(4).sample(names, 600)
+    edges = [(s, f"t{k + d}") for k, s in enumerate(order[:590]) for d in (0, 1)]
+    family = truth.families(spark.createDataFrame([(s,) for s in names], "s1_id string"), spark.createDataFrame(edges, "s1_id string, target_id string"))
+    want = {s: s if s in order[590:] else min(order[:590]) for s in names}
+    assert {r["node"]: r["family_id"] for r in family.collect()} == want
+    size = family._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)).bit_length() < 200
