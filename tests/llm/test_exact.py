@@ -275,3 +275,17 @@ def test_four_templates_of_four_documents(spark):
     rows = [(10 * k + i, f"own{'abcd'[k]}{'efgh'[i]} text of this document\n{line('abcd'[i], k)}") for k in range(4) for i in range(4)]
     got = {r["doc_id"]: r["n_dropped"] for r in template_tree.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [sum(got[10 * k + i] for k in range(4)) for i in range(4)] == [3, 3, 3, 3] and all(got[i] == 0 for i in range(4))
+
+
+def test_leaders_of_a_large_group_of_near_copies(spark):
+    """Each class is compared with a few leaders, those met under most hashes, though its hashes have many."""
+    r = random.Random(6)
+    fronts = {cid: r.sample(range(40), 8) for cid in range(1, 400)}
+    rows = spark.createDataFrame(list(fronts.items()), "cid long, front array<long>")
+    got = {}
+    for a, b in set_relation_join.nearest_leaders(rows).collect():
+        got.setdefault(a, []).append(b)
+    ends = {h: [f((c for c, x in fronts.items() if h in x), default=0) for f in (min, max)] for h in range(40)}
+    for cid, front in fronts.items():
+        times = Counter(c for h in front for c in ends[h] if c != cid)
+        assert sorted(got[cid]) == sorted(sorted(times, key=lambda c: (-times[c], c))[:4])
