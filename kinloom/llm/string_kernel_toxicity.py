@@ -2,8 +2,9 @@
 
 Two words are as alike as the subsequences of three characters that they share, each weighted down by the
 stretch it spans; characters put in between and inflected forms lower the likeness only a little. A bounded
-sample of labelled rows gives the landmarks: words that tell toxic texts from others, chosen to cover them, and
-the ordinary words most like these. A word's features are its kernel values with the landmarks, whitened. Only
+sample of labelled rows gives the landmarks: stretches of words that tell toxic texts from others, so that words
+never seen before are known by their stem, and the ordinary words most like these. A word's features are the
+highest kernel values of its own stretches with the landmarks, whitened. Only
 texts are labelled, so the machine learns from witnesses: in a toxic text the word that scores highest, in
 other texts every word. A text's score is that of its worst word, calibrated on the labelled texts. Of a word or a
 run of spelled letters that is too long to be compared at once, every stretch as long as a landmark is scored too.
@@ -18,6 +19,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from heapq import heapify, heappop, heapreplace
 from zlib import crc32
 
 import numpy as np
@@ -33,9 +35,11 @@ WIDTH, ORDER, DECAY, GAP = 24, 3, 0.6, 2
 #: Share of a landmark's neighbouring pairs that a word must have in order.
 GUARD = 0.6
 #: Labelled rows of each class to learn from, at most; landmarks of either kind, at most.
-SAMPLE_ROWS, LANDMARKS, CONTRAST = 1500, 64, 24
-#: Log-likelihood ratio from which a word tells toxic texts from others; times that each of them is to be covered by landmarks.
-TELLING, COVER = 25.0, 2
+SAMPLE_ROWS, LANDMARKS, CONTRAST = 3000, 64, 24
+#: Bytes of a stretch that may be a landmark, the mark of a word's start included.
+STRETCH = range(5, 9)
+#: Log-likelihood ratio from which a stretch tells toxic texts from others.
+TELLING = 25.0
 #: Characters before which a word is cut; single letters in a row that are read as one word.
 MARKS, SPELLED = b".,!?;:|", 4
 
@@ -141,12 +145,34 @@ class Machine:
                         break
                     hits[on] += self.pairs[c[on, i] << 8 | c[on, i + gap], :m]
             row, col = np.nonzero(hits >= self.need[None, :])
-            if len(row):
-                some, back = np.unique(row, return_inverse=True)
-                norm = np.sqrt(np.maximum(kernel(w[some], w[some]), 1e-12))
-                out[a + row, col] = kernel(w[row], self.landmarks[col]) / (norm[back] * self.own[col])
+            for b in range(0, len(row), 1 << 14):
+                r, k = row[b : b + (1 << 14)], col[b : b + (1 << 14)]
+                np.maximum.at(out, (a + r, k), self._nearest(w[r], k))
         return out
 
+    def _nearest(self, words: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """The highest normalised kernel value of each word's stretches, as long as its landmark or a character longer, with that landmark; the guard holds for a stretch too."""
+        size, best = (words != 0).sum(axis=1), np.zeros(len(words))
+        c, every, needed = words.astype(np.int64), np.arange(len(words)), self.need[col]
+        # pairs of each gap that begin before a place
+        before = np.zeros((GAP, len(words), WIDTH + 1), dtype=np.int16)
+        for gap in range(1, GAP + 1):
+            shared = self.pairs[c[:, :-gap] << 8 | c[:, gap:], col[:, None]]
+            np.cumsum(shared, axis=1, out=before[gap - 1, :, 1 : WIDTH - gap + 1])
+        for more in (0, 1):
+            width = np.minimum((self.landmarks[col] != 0).sum(axis=1) + more, size)
+            for start in range(int((size - width).max()) + 1):
+                hits = sum(b[every, np.minimum(np.maximum(start + width - gap, start), WIDTH - gap)] - b[:, start] for gap, b in enumerate(before, 1))
+                on = np.flatnonzero((start + width <= size) & (hits >= needed))
+                if not len(on):
+                    continue
+                part = np.zeros((len(on), WIDTH), dtype=np.uint8)
+                part[:, : WIDTH - start] = words[on, start:]
+                part[np.arange(WIDTH)[None, :] >= width[on, None]] = 0
+                norm = np.sqrt(np.maximum(kernel(part, part), 1e-12))
+                best[on] = np.maximum(best[on], kernel(part, self.landmarks[col[on]]) / (norm * self.own[col[on]]))
+        return best
+
     def words(self, words: np.ndarray) -> np.ndarray:
         """Decision values of folded words."""
         if not len(self.landmarks):
@@ -230,16 +256,74 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def _ratio(bad: int, good: int, n_bad: int, n_good: int) -> float:
-    """Twice the log-likelihood ratio of a word's counts in texts of either kind against one rate for both."""
+def _ratio(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of counts in texts of either kind against one rate for both."""
+
+    def part(k: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
+        return k * np.log(np.maximum(rate, 1e-300)) + (n - k) * np.log(np.maximum(1 - rate, 1e-300))
+
+    both = (bad + good) / (n_bad + n_good)
+    return 2 * (part(bad, n_bad, bad / n_bad) + part(good, n_good, good / n_good) - part(bad, n_bad, both) - part(good, n_good, both))
 
-    def part(k: int, n: int) -> float:
-        p = k / n
-        return (k * np.log(p) if k else 0.0) + ((n - k) * np.log(1 - p) if k < n else 0.0)
 
-    rate = (bad + good) / (n_bad + n_good)
-    both = (bad + good) * np.log(rate) + (n_bad + n_good - bad - good) * np.log(1 - rate) if rate < 1 else 0.0
-    return 2 * float(part(bad, n_bad) + part(good, n_good) - both)
+def telling_stretches(codes: np.ndarray, bad: list[np.ndarray], good: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(landmarks, types with one of them): stretches of word types that tell the bad texts, given by their types, from the good ones.
+
+    The most telling stretch comes first, the longest of equal ones. Types that have a chosen stretch count no more
+    for others, so inflected forms take no places of their own.
+    """
+    n_bad, n_good = len(bad), len(good)
+    pairs, value = [], []
+    for n in STRETCH:
+        at = np.zeros((len(codes), WIDTH - n + 1), dtype=np.uint64)
+        for k in range(n):
+            at = at << np.uint64(8) | codes[:, k : WIDTH - n + 1 + k].astype(np.uint64)
+        at[codes[:, n - 1 :] == 0] = 0
+        names, many = np.unique(np.concatenate([np.unique(at[ks]) for ks in bad]), return_counts=True)
+        names, many = names[(many >= 3) & (names > 0)], many[(many >= 3) & (names > 0)]
+        if not len(names):
+            continue
+        clean = np.zeros(len(names), dtype=np.int64)
+        for ks in good:
+            x = np.unique(at[ks])
+            k = np.minimum(np.searchsorted(names, x), len(names) - 1)
+            clean[k[names[k] == x]] += 1
+        names = names[(many * n_good > 10 * clean * n_bad) & (_ratio(many, clean, n_bad, n_good) > TELLING)]
+        if len(names):
+            k = np.minimum(np.searchsorted(names, at), len(names) - 1)
+            row, col = np.nonzero(names[k] == at)
+            pairs.append(np.unique(np.column_stack([k[row, col] + len(value), row]), axis=0))
+            value += [(n, int(x)) for x in names]
+    free = np.ones(len(codes), dtype=bool)
+    if not value:
+        return np.zeros((0, WIDTH), dtype=np.uint8), ~free
+    texts = [np.concatenate(x) for x in zip(*((ks, np.full(len(ks), d)) for d, ks in enumerate([*bad, *good])), strict=True)]
+    order = np.argsort(texts[0], kind="stable")
+    of_type, first = texts[1][order], np.searchsorted(texts[0][order], np.arange(len(codes) + 1))
+    every = np.concatenate(pairs)
+    edge = np.searchsorted(every[:, 0], np.arange(len(value) + 1))
+
+    def rank(c: int) -> tuple:
+        types = every[edge[c] : edge[c + 1], 1]
+        seen = np.unique(np.concatenate([of_type[first[t] : first[t + 1]] for t in types[free[types]]] or [np.zeros(0, dtype=int)]))
+        b, g = int((seen < n_bad).sum()), int((seen >= n_bad).sum())
+        ok = b >= 3 and b * n_good > 10 * g * n_bad
+        return (-float(_ratio(np.array(b), np.array(g), n_bad, n_good)) if ok else 0.0, -value[c][0], value[c][1], c)
+
+    heap, chosen = [rank(c) for c in range(len(value))], []
+    heapify(heap)
+    while heap and len(chosen) < LANDMARKS and -heap[0][0] > TELLING:
+        now = rank(heap[0][3])
+        if now > heap[0]:
+            heapreplace(heap, now)
+            continue
+        c = heappop(heap)[3]
+        chosen.append(value[c][1].to_bytes(value[c][0], "big"))
+        free[every[edge[c] : edge[c + 1], 1]] = False
+    marks = np.zeros((len(chosen), WIDTH), dtype=np.uint8)
+    for k, x in enumerate(chosen):
+        marks[k, : len(x)] = np.frombuffer(x, dtype=np.uint8)
+    return marks, ~free
 
 
 def _kin(words: list[list[bytes]]) -> np.ndarray:
@@ -291,54 +375,48 @@ def train_words(texts: list[tuple[list[bytes], int]], rounds: int = 8) -> Machin
     label = np.array([y for _, y in texts], dtype=int)
     if not len(label) or label.min() == label.max():
         return empty
-    has: dict[bytes, list[int]] = defaultdict(list)
-    for d, ws in enumerate(words):
-        for w in ws:
-            has[w].append(d)
-    kin = _kin(words)
-    n_bad, n_good = len(set(kin[label == 1].tolist())), len(set(kin[label == 0].tolist()))
-    telling = {}
-    for w, ds in has.items():
-        if len(ds) < 3:
-            continue
-        bad, good = len({int(kin[d]) for d in ds if label[d]}), len({int(kin[d]) for d in ds if not label[d]})
-        if bad >= 3 and bad / n_bad > 10 * good / n_good and _ratio(bad, good, n_bad, n_good) > TELLING:
-            telling[w] = [d for d in ds if label[d]]
-    covered, chosen = np.zeros(len(label), dtype=int), []
-    for w in sorted(telling, key=lambda x: (-len(telling[x]), x)):
-        if len(chosen) < LANDMARKS and (covered[telling[w]] < COVER).any():
-            covered[telling[w]] += 1
-            chosen.append(w)
-    if not chosen:
-        return empty
-    types = sorted(has)
-    place = {w: k for k, w in enumerate(types)}
+    types = sorted({w for ws in words for w in ws})
+    number = {w: k for k, w in enumerate(types)}
     codes = encode(types)
-    of_text = [np.array([place[w] for w in ws], dtype=int) for ws in words]
+    of_text = [np.array([number[w] for w in ws], dtype=int) for ws in words]
+    # near copies count as one text
+    kin: list[dict[int, list]] = [defaultdict(list), defaultdict(list)]
+    for d, k in enumerate(_kin(words).tolist()):
+        kin[label[d]][k].append(of_text[d])
+    good, bad = ([np.unique(np.concatenate(x)) for x in side.values()] for side in kin)
+    chosen, known = telling_stretches(codes, bad, good)
+    if not len(chosen):
+        return empty
+    # a word that has such a stretch, but by itself doesn't tell toxic texts from others, is no example of it
+    often = [np.bincount(np.concatenate(side), minlength=len(codes)) for side in (bad, good)]
+    known &= often[0] * len(good) > 10 * often[1] * len(bad)
     clean = np.zeros(len(types), dtype=bool)
     for d in np.flatnonzero(label == 0):
         clean[of_text[d]] = True
-    first = Machine(encode(chosen), np.eye(len(chosen)), np.zeros(len(chosen)))
+    first = Machine(chosen, np.eye(len(chosen)), np.zeros(len(chosen)))
     alike = first.likeness(codes)
-    contrast = np.flatnonzero(clean)[np.argsort(-alike[clean].max(axis=1), kind="stable")[:CONTRAST]]
-    marks = np.concatenate([encode(chosen), codes[contrast]])
+    # the clean words most like each landmark in turn, those with equal likenesses once
+    clean &= ~known
+    ordinary = np.flatnonzero(clean & alike.any(axis=1))
+    ordinary = ordinary[np.unique(alike[ordinary], axis=0, return_index=True)[1]]
+    ranks = np.argsort(np.argsort(-alike[ordinary], axis=0, kind="stable"), axis=0, kind="stable").min(axis=1) if len(ordinary) else np.zeros(0, dtype=int)
+    contrast = ordinary[np.argsort(ranks, kind="stable")[:CONTRAST]]
+    marks = np.concatenate([chosen, codes[contrast]])
     base = Machine(marks, np.eye(len(marks)), np.zeros(len(marks)))
     values, vectors = np.linalg.eigh(base.likeness(marks).astype(float) / 2 + base.likeness(marks).T.astype(float) / 2)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
     # words unlike every landmark have no features; one stands for them all
     like = base.likeness(codes)
     some = like.any(axis=1)
-    some[[place[w] for w in chosen]] = True
+    some |= known
     some[contrast] = True
     number = np.where(some, np.cumsum(some), 0)
     z = np.concatenate([np.zeros((1, like.shape[1]), dtype=np.float32), like[some]]) @ whiten
-    place, contrast = {w: int(number[place[w]]) for w in chosen}, number[contrast]
-    of_text = [np.unique(number[ks]) for ks in of_text]
-    clean = np.concatenate([[True], clean[some]])
+    contrast, of_text = number[contrast], [np.unique(number[ks]) for ks in of_text]
+    clean, known = np.concatenate([[True], clean[some]]), np.concatenate([[False], known[some]])
     del like
-    # witnesses: in a toxic text the words that score highest, at first the chosen ones; in other texts the worst ones, gathered over the rounds
-    names = set(chosen)
-    picked = {d: [place[w] for w in words[d] if w in names] for d in np.flatnonzero(label == 1)}
+    # witnesses: in a toxic text the words with a landmark, or else the one that scores highest; in other texts the worst ones, gathered over the rounds
+    picked = {d: of_text[d][known[of_text[d]]].tolist() for d in np.flatnonzero(label == 1)}
     start, best = dict(picked), (-1.0, None)
     hard = set(contrast.tolist())
     w = np.zeros(z.shape[1] + 1)
@@ -362,7 +440,9 @@ def train_words(texts: list[tuple[list[bytes], int]], rounds: int = 8) -> Machin
             for d in np.flatnonzero(label == 0):
                 ks = of_text[d]
                 hard.update(ks[np.argsort(-value[ks], kind="stable")[:2]].tolist())
-            picked = {d: sorted({*start[d], *(int(k) for k in of_text[d][value[of_text[d]] > 0] if not clean[k])}) for d in picked}
+            for d in (d for d in picked if not start[d]):
+                ks = of_text[d][(value[of_text[d]] > 0) & ~clean[of_text[d]]]
+                picked[d] = ks[np.argsort(-value[ks], kind="stable")[:1]].tolist()
     w = best[1]
     machine = Machine(marks, whiten, w[:-1], float(w[-1]))
     value = z @ w[:-1] + w[-1]
