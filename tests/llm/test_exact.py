@@ -289,3 +289,32 @@ def test_leaders_of_a_large_group_of_near_copies(spark):
     for cid, front in fronts.items():
         times = Counter(c for h in front for c in ends[h] if c != cid)
         assert sorted(got[cid]) == sorted(sorted(times, key=lambda c: (-times[c], c))[:4])
+
+
+def test_single_classes_that_nearly_link_are_settled_once(spark, monkeypatch):
+    """Of candidate pairs that don't link, only those with a group are looked at again."""
+    r, rows = random.Random(8), []
+    base = [f"w{r.randint(0, 4000)}" for _ in range(150)]
+    for k in range(40):
+        words = list(base)
+        for _ in range(3):
+            words[r.randrange(len(words))] = f"x{r.randint(0, 10**6)}"
+        rows.append((k, " ".join(words)))
+    met, left, join = [], [], set_relation_join
+    pairs_of, visit = join.candidate_pairs, join.visit
+
+    def candidates(*args):
+        out = pairs_of(*args)
+        met.append(out.count())
+        return out
+
+    def visited(shelf, pairs, groups, *args):
+        labels = {x["label"] for x in groups.collect()}
+        left.append(sum(x["a"] not in labels and x["b"] not in labels for x in pairs.collect()))
+        return visit(shelf, pairs, groups, *args)
+
+    monkeypatch.setattr(join, "candidate_pairs", candidates)
+    monkeypatch.setattr(join, "visit", visited)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in join.link_components(docs).collect()) == brute_components(docs.collect())
+    assert met[0] > 100 and left == [0]
