@@ -318,3 +318,28 @@ def test_single_classes_that_nearly_link_are_settled_once(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in join.link_components(docs).collect()) == brute_components(docs.collect())
     assert met[0] > 100 and left == [0]
+
+
+def test_near_copies_that_hardly_link_meet_in_rooms(spark, monkeypatch):
+    """Rows grow with the documents, not with their pairs, and no link is lost where places are split."""
+    r, rows, met, join = random.Random(5), [], [], set_relation_join
+    base = [f"w{r.randint(0, 4000)}" for _ in range(150)]
+    for k in range(400):
+        words = list(base)
+        for _ in range(r.randint(3, 4)):
+            words[r.randrange(len(words))] = f"x{r.randint(0, 10**6)}"
+        rows.append((k, " ".join(words)))
+    pairs_of = join.candidate_pairs
+
+    def candidates(*args):
+        out = pairs_of(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(join, "candidate_pairs", candidates)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(docs.collect())
+    for entries_of_a_place in (join.PLACE_ENTRIES, 512):
+        monkeypatch.setattr(join, "PLACE_ENTRIES", entries_of_a_place)
+        assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in join.link_components(docs).collect()) == want
+    assert 1 < len({x[2] for x in want}) < 400 and max(met) < 20 * len(rows)
