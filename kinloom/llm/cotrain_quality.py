@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, draw, rows_of, ship, tidy
+from .common import carried, draw, give_back, rows_of, ship, tidy
 from .string_kernel_toxicity import platt
 from .textcore import Block, blocks
 
@@ -261,7 +261,10 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
     x = wide("f")
     m = meta_view(list(zip(*[got[c].to_pylist() for c in ("source", "lang", "n_chars")], strict=True)), wide("layout"))
     y = got["y"].fill_null(-1).to_numpy()
-    return cotrain(x[y >= 0], m[y >= 0], y[y >= 0], x[y < 0], m[y < 0])
+    views = cotrain(x[y >= 0], m[y >= 0], y[y >= 0], x[y < 0], m[y < 0])
+    del got, x, m
+    give_back()
+    return views
 
 
 def score(docs: DataFrame, views: Views, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:

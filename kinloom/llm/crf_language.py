@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, rows_of, ship, tidy
+from .common import carried, give_back, rows_of, ship, tidy
 from .textcore import Block, TypeTable, blocks, mix
 
 #: Hash slots of emission weights; bytes of a piece, longer words are several; words of a segment.
@@ -206,14 +206,17 @@ def train(texts: list[tuple[bytes, str]], epochs: int = 6, length: int = 24, see
     chars, size, owner = (np.concatenate(x) for x in (chars, size, owner))
     tag = np.array([labels.index(lang) for _, lang in texts])[owner]
     chain.lexicon = learn_lexicon(word_names(chars, size), owner, tag, m)
-    parts = [features(chars[k : k + (1 << 15)], size[k : k + (1 << 15)], chain.lexicon) for k in range(0, len(chars), 1 << 15)]
-    slots, has = (np.concatenate(x) for x in zip(*parts, strict=True))
+    each = features(chars[:1], size[:1], chain.lexicon)
+    slots, has = (np.empty((len(chars), x.shape[1]), dtype=x.dtype) for x in each)
+    for k in range(0, len(chars), 1 << 15):
+        slots[k : k + (1 << 15)], has[k : k + (1 << 15)] = features(chars[k : k + (1 << 15)], size[k : k + (1 << 15)], chain.lexicon)
+    del chars
     # stretches of one text; runs of `length` words
     runs = [np.arange(i, i + length) for i in range(0, len(owner) - length, length) if owner[i] == owner[i + length - 1]]
     if not runs:
         runs = [np.arange(min(length, len(owner)))]
     runs = np.stack(runs)
-    weight = has * (chain.sharpness / np.maximum(has.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    share = (chain.sharpness / np.maximum(has.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     sums = {k: np.full(v.shape, 1e-2) for k, v in (("emit", chain.emit), ("move", chain.move), ("first", chain.first))}
 
     def update(name: str, gradient: np.ndarray, rate: float) -> None:
@@ -228,12 +231,13 @@ def train(texts: list[tuple[bytes, str]], epochs: int = 6, length: int = 24, see
             cut = length // 2
             words[mixed, cut:] = runs[rng.integers(0, len(runs), int(mixed.sum()))][:, cut:]
             flat = words.ravel()
-            scores = np.einsum("nk,nkm->nm", weight[flat], chain.emit[slots[flat]])
+            weight = has[flat] * share[flat]
+            scores = np.einsum("nk,nkm->nm", weight, chain.emit[slots[flat]])
             first = np.arange(0, len(flat) + 1, words.shape[1])
             p, pairs = _expected(chain, scores.reshape(len(words), -1, m))
             gold = np.eye(m)[tag[words]]
             delta = (gold - p) / len(words)
-            rows, cols = slots[flat].ravel(), (delta.reshape(-1, 1, m) * weight[flat][:, :, None]).reshape(-1, m)
+            rows, cols = slots[flat].ravel(), (delta.reshape(-1, 1, m) * weight[:, :, None]).reshape(-1, m)
             unique, back = np.unique(rows, return_inverse=True)
             g = np.stack([np.bincount(back, weights=cols[:, j], minlength=len(unique)) for j in range(m)], axis=1)
             sums["emit"][unique] += g**2
@@ -352,4 +356,6 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
 
 def learn(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Chain:
     """A chain learned from the text and lang of the usable rows. Without labelled rows every text with letters is `und`."""
-    return train(sample_texts(docs, usable, doc_id, text, lang))
+    chain = train(sample_texts(docs, usable, doc_id, text, lang))
+    give_back()
+    return chain

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from kinloom.llm import common
 from kinloom.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +58,15 @@ def test_oracle(spark, name):
     want = sorted(tuple(str(v) for v in r) for r in cursor.fetchall())
     got = registered.queries()[name](spark, SF).select(*columns).collect()
     assert sorted(tuple(str(v) for v in r) for r in got) == want
+
+
+@pytest.mark.parametrize(("share", "collected"), [(0.0, True), (1.1, False)])
+def test_shelf_keeps_the_heap_small(spark, monkeypatch, share, collected):
+    """A table on a shelf is followed by a full collection if the driver's heap is in use beyond the share, and only then."""
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName() and b.getName() not in ("Copy", "PS Scavenge")]
+    monkeypatch.setattr(common, "HEAP_SHARE", share, raising=False)
+    with common.Shelf(spark) as shelf:
+        shelf.put(spark.range(1))
+        before = sum(b.getCollectionCount() for b in beans)
+        assert shelf.put(spark.range(10)).count() == 10
+        assert (sum(b.getCollectionCount() for b in beans) > before) is collected
