@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,9 +13,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinloom.llm import hash_tree, histogram_pack, prefix_bpe, rule_ledger, set_relation_join, template_tree
+from kinloom.llm import common, hash_tree, histogram_pack, prefix_bpe, rule_ledger, set_relation_join, template_tree
 from kinloom.llm.common import Shelf
 from kinloom.llm.components import components
 
@@ -343,3 +345,55 @@ def test_near_copies_that_hardly_link_meet_in_rooms(spark, monkeypatch):
         monkeypatch.setattr(join, "PLACE_ENTRIES", entries_of_a_place)
         assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in join.link_components(docs).collect()) == want
     assert 1 < len({x[2] for x in want}) < 400 and max(met) < 20 * len(rows)
+
+
+def test_sets_are_read_without_shuffling_texts(spark, monkeypatch):
+    """However many classes need their sets, the texts stay where they are."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    docs = spark.createDataFrame([*((k, " ".join(f"w{k}-{i}" for i in range(12))) for k in range(300)), (None, "a text without an id")], "doc_id long, text string")
+    ids = spark.createDataFrame([(k,) for k in range(0, 300, 3)], "doc_id long")
+    sets = set_relation_join.whole_sets(docs, ids, 5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "hashpartitioning(doc_id" not in sets._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    cids = {r["doc_id"]: r["cid"] for r in set_relation_join.survey(docs, 5).where("slot IS NULL").collect()}
+    got = {r["cid"] for r in sets.collect()}
+    assert {c for k, c in cids.items() if k is None or k % 3 == 0} <= got and len(got) < 150
+
+
+def test_what_was_shuffled_for_a_table_goes(spark):
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    with common.Shelf(spark) as shelf:
+        rows = shelf.put(spark.range(1000).repartition(4, "id"), spark.range(1000, 1500).repartition(4, "id"))
+        assert rows.distinct().count() == rows.count() == 1500
+        shuffled = spark.range(1000).repartition(4, "id")
+        at = files()
+        shelf.put(shuffled)
+        for _ in range(50):
+            if files() <= at:
+                break
+            time.sleep(0.1)
+        assert files() <= at
+
+
+def test_join_where_nothing_is_broadcast_and_sets_go_in_rounds(spark, monkeypatch):
+    r, rows, parts, join = random.Random(11), [], [], set_relation_join
+    for c in range(6):
+        base = [f"w{c}-{r.randint(0, 4000)}" for _ in range(100)]
+        for k in range(60):
+            words = list(base)
+            for _ in range(r.randint(1, 4)):
+                words[r.randrange(len(words))] = f"x{r.randint(0, 10**6)}"
+            rows.append((None if k == 7 else 100 * c + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(join, "CARRY_AT_LEAST", 30000)
+    monkeypatch.setattr(join, "CARRY", 0)
+    monkeypatch.setattr(join, "PLACE_ENTRIES", 512)
+    rounds = join.rounds
+    monkeypatch.setattr(join, "rounds", lambda *args: parts.append(len(out := rounds(*args))) or out)
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in join.link_components(docs).collect())
+    assert got == brute_components(docs.collect()) and max(parts) > 1
