@@ -45,6 +45,16 @@ def test_rows_with_one_id(spark):
     assert left == sorted([("1", "t0 "), ("8", "u0 "), ("None", "v0 "), ("7", "Non"), ("7", "Non"), ("7", "")])
 
 
+def test_copies_beyond_a_broadcast(spark, monkeypatch):
+    """With more copies than can be broadcast, only texts that may be copies are shuffled to be taken out, and the same ones go."""
+    rows = [(k, " ".join(f"w{k % 80}-{i}" for i in range(12))) for k in range(100)] + [(None, "w5 alone")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    out = corpus_pipeline.join_near_duplicates(spark, docs, SF)
+    assert "bitmap_construct_agg" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r["doc_id"]), r["text"][:3]) for r in out.collect()) == sorted((str(k), t[:3]) for k, t in rows[:80] + rows[-1:])
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
